@@ -37,7 +37,7 @@ def read_alignment(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 def read_trees(spark: SparkSession, path: str) -> DataFrame:
     """(tree_id, newick): one row per tree, trees may span lines."""
-    rows = _whole(spark, path).select("file", F.posexplode(F.split("value", ";")).alias("pos", "newick")).where("trim(newick) <> ''")
+    rows = _whole(spark, path).select("file", F.posexplode(F.split("value", ";")).alias("pos", "newick")).where(r"newick rlike '\\S'")
     return rows.select(F.xxhash64("file", "pos").alias("tree_id"), "file", "pos", F.concat(F.trim(F.regexp_replace("newick", r"\s+", " ")), F.lit(";")).alias("newick"))
 
 

@@ -128,5 +128,50 @@ from cov join it using (item_id) where covered >= 0.5 * len(it.words)
 """
 
 
+def _crc_sql(table: str, key: str, text: str, block: int = 64) -> list[str]:
+    """Steps whose last, `crc`, has (key, crc) of each text: blocks are reduced byte by byte, then joined by the linear map
+    that `block` zero bytes are. A prefix that leads from state 0 to the start state makes all blocks alike."""
+    one = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        one.append(n)
+
+    def moved(state: int) -> int:
+        for _ in range(block):
+            state = state >> 8 ^ one[state & 255]
+        return state
+
+    far = [[moved(b << 8 * k) for b in range(256)] for k in range(4)]
+    state, used = 0xFFFFFFFF, []
+    for _ in range(4):  # backwards: the table entry is known from its top byte
+        used.append(next(k for k in range(256) if one[k] >> 24 == state >> 24))
+        state = (state ^ one[used[-1]]) << 8 & 0xFFFFFFFF
+    state, prefix = 0, []
+    for k in reversed(used):
+        prefix.append((state ^ k) & 255)
+        state = state >> 8 ^ one[k]
+    listed = lambda x: f"[{', '.join(map(str, x))}]::bigint[]"
+    return [
+        f"tables as (select {listed(one)} as k, {', '.join(f'{listed(f)} as f{i}' for i, f in enumerate(far))})",
+        f"m as (select {key}, '{bytes(prefix).hex()}' || hex(encode(coalesce({text}, ''))) as h from {table})",
+        f"padded as (select {key}, repeat('00', cast(({block} - (length(h) // 2) % {block}) % {block} as int)) || h as h from m)",
+        f"placed as (select {key}, unnest(range(0, length(h) // {2 * block})) as ci, h from padded)",
+        f"blocks as (select {key}, ci, h[ci * {2 * block} + 1:ci * {2 * block} + {2 * block}] as h from placed)",
+        f"states as (select {key}, ci, list_reduce(list_prepend(0::bigint, list_transform(range(0, {block}), lambda i: cast('0x' || h[2 * i + 1:2 * i + 2] as bigint))), lambda c, b: xor(c >> 8, k[(xor(c, b) & 255) + 1])) as v from blocks, tables)",
+        f"gathered as (select {key}, list(v order by ci) as vs from states group by {key})",
+        f"crc as (select {key}, xor(4294967295, list_reduce(vs, lambda c, v: xor(v, xor(xor(f0[(c & 255) + 1], f1[(c >> 8 & 255) + 1]), xor(f2[(c >> 16 & 255) + 1], f3[(c >> 24 & 255) + 1]))))) as crc from gathered, tables)",
+    ]
+
+
+SQL_OP7 = f"""
+with {", ".join(_crc_sql("documents", "doc_id", "text"))},
+d as (select doc_id, cast(octet_length(encode(coalesce(text, ''))) + 1 as bigint) as size, crc.crc as text_crc32 from documents join crc using (doc_id)),
+p as (select *, sum(size) over (order by doc_id, size, text_crc32) - size as start, sum(size) over () as total from d),
+s as (select *, cast(least(15, start * 16 // total) as int) as shard from p)
+select doc_id, size, text_crc32, 'bytes' as law, shard, cast(row_number() over (partition by shard order by start) - 1 as bigint) as slot, cast(null as int) as grown_shard from s
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": SQL_OP1, "op2_url_filters": SQL_OP2, "op10_benchmark_decontamination": SQL_OP10}
+    return {"op1_substring_dedup": SQL_OP1, "op2_url_filters": SQL_OP2, "op7_sharding": SQL_OP7, "op10_benchmark_decontamination": SQL_OP10}

@@ -37,7 +37,7 @@ def test_stages_keep_columns_and_take_effect(spark):
     assert 0 < docs.count() < 200
 
 
-@pytest.mark.parametrize("name", ["op1_substring_dedup", "op2_url_filters", "op10_benchmark_decontamination"])
+@pytest.mark.parametrize("name", ["op1_substring_dedup", "op2_url_filters", "op7_sharding", "op10_benchmark_decontamination"])
 def test_sql_agrees(spark, name):
     from cladespark.llm import registry
 
@@ -48,5 +48,5 @@ def test_sql_agrees(spark, name):
     want = c.execute(registry.oracle_sql()[name]).df()
     columns = sorted(want.columns)
     assert columns == sorted(got.columns)
-    order = lambda d: d[columns].astype(str).replace("None", "nan").sort_values(columns).reset_index(drop=True)
+    order = lambda d: d[columns].astype(str).replace({"None": "nan", "<NA>": "nan"}).sort_values(columns).reset_index(drop=True)
     assert order(got).equals(order(want))

@@ -18,6 +18,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -141,7 +142,12 @@ class Codec:
 @lru_cache(maxsize=2)
 def codec(path: str) -> tuple[Codec, Memory]:
     made = Codec(piece_model.load(path))
-    return made, Memory(lambda keys: [made.pieces_of(k.replace(" ", SPACE)) for k in keys], most=500_000)
+
+    def encode(keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [made.pieces_of(k.replace(" ", SPACE)) for k in keys]
+        return np.array(list(chain.from_iterable(got)), np.int32), np.fromiter(map(len, got), np.int64, len(got))
+
+    return made, Memory(encode, most=500_000)
 
 
 def encode_texts(path: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

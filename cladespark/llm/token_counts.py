@@ -151,7 +151,7 @@ def _memory(path: str) -> tuple[PieceModel, Memory]:
     if not model.bpe:
         raise ValueError("token counts need a merge-based model")
     machine = Transducer(model)
-    return model, Memory(lambda keys: [(machine.count(k.replace(" ", SPACE)),) for k in keys])
+    return model, Memory(lambda keys: (np.fromiter((machine.count(k.replace(" ", SPACE)) for k in keys), np.int32, len(keys)), np.ones(len(keys), np.int64)))
 
 
 def count_texts(path: str, texts: list[str]) -> np.ndarray:

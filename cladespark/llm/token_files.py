@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bucket_of, n_buckets, order_bounds, texts_of
-from .wordcache import Memory, per_text
+from .wordcache import Memory, gather, per_text
 
 #: A segment is closed when it has as many ids or documents; a longer document is a segment of its own.
 SEGMENT_IDS, SEGMENT_DOCS = 1 << 16, 1 << 12
@@ -104,7 +105,7 @@ class WordTokens:
             raise ValueError("a tokenizer that lower-cases and drops white space is expected")
         self.plain = re.compile("[!-~¡-¬®-ɏ]+").fullmatch
         self.cut = regex.compile(split["pattern"]["Regex"]).findall
-        self.special = [x["content"] for x in said.get("added_tokens", [])]
+        self.special = re.compile("|".join(re.escape(x["content"]) for x in said.get("added_tokens", [])) or "(?!)").search
         self.merges = Tokenizer(self.whole.model)
         self.merges.pre_tokenizer = WhitespaceSplit()
         self.letters = _byte_letters()
@@ -114,28 +115,31 @@ class WordTokens:
         self.last[[i for t, i in said["model"]["vocab"].items() if t.endswith(suffix)]] = True
         self.parts = Memory(self._parts, most=1_000_000)
 
-    def _parts(self, parts: list[str]) -> list[np.ndarray]:
-        letters = self.letters
-        out: list[np.ndarray] = []
-        written = ["".join([letters[b] for b in p.encode()]) for p in parts]
-        for got in self.merges.encode_batch_fast([" ".join(written[i : i + 64]) for i in range(0, len(written), 64)], add_special_tokens=False):
-            ids = np.array(got.ids, np.int32)
-            out += np.split(ids, np.flatnonzero(self.last[ids])[:-1] + 1)
-        if len(out) != len(parts):
+    def _parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        get = self.letters
+        written = [p if p.isascii() else "".join([get[b] for b in p.encode()]) for p in parts]  # printable ASCII stands for itself
+        got = self.merges.encode_batch_fast([" ".join(written[i : i + 64]) for i in range(0, len(written), 64)], add_special_tokens=False)
+        ids = np.concatenate([np.array(g.ids, np.int32) for g in got])
+        ends = np.flatnonzero(self.last[ids])
+        if len(ends) != len(parts) or ends[-1] + 1 != len(ids):
             raise RuntimeError("each part must end in one end-of-word token")
-        return out
+        return ids, np.diff(ends, prepend=-1)
 
-    def words(self, words: list[bytes]) -> list:
+    def words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         texts = [w.decode() for w in words]
-        easy = [bool(self.plain(t)) and not any(s in t for s in self.special) for t in texts]
-        cut = [self.cut(t.lower()) if e else [] for t, e in zip(texts, easy, strict=True)]
-        flat, sizes = self.parts.joined(self.parts.places([p for c in cut for p in c]))
-        per_word = per_text(sizes, [len(c) for c in cut])
-        got = np.split(flat, np.cumsum(per_word)[:-1])
-        hard = [i for i, e in enumerate(easy) if not e]
-        for i, e in zip(hard, self.whole.encode_batch_fast([texts[i] for i in hard], add_special_tokens=False), strict=True):
-            got[i] = e.ids
-        return got
+        plain, special, find = self.plain, self.special, self.cut
+        cut = [find(t.lower()) if plain(t) and not special(t) else None for t in texts]
+        flat, sizes = self.parts.joined(self.parts.places(list(chain.from_iterable(filter(None, cut)))))
+        n = per_text(sizes, [len(c) if c else 0 for c in cut])
+        hard = [i for i, c in enumerate(cut) if c is None]
+        if not hard:
+            return flat, n
+        got = [e.ids for e in self.whole.encode_batch_fast([texts[i] for i in hard], add_special_tokens=False)]
+        starts = np.cumsum(n) - n
+        n[hard] = [len(g) for g in got]
+        starts[hard] = len(flat) + np.cumsum(n[hard]) - n[hard]
+        whole = np.concatenate([flat, np.array(list(chain.from_iterable(got)), np.int32)])
+        return gather(whole, starts, n), n
 
 
 @lru_cache(maxsize=2)

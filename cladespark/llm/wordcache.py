@@ -17,10 +17,18 @@ class _Index(dict):
         return at
 
 
+def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """flat[starts[i] : starts[i] + sizes[i]] for each i, one after the other."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.arange(total) + np.repeat(starts - (ends - sizes), sizes)]
+
+
 class Memory:
-    """encode(keys) gives an array of numbers for each key; what it gives is kept for at most `most` keys."""
+    """encode(keys) gives the numbers of all keys one after the other and how many each has; what it gives is kept for at
+    most `most` keys."""
 
-    def __init__(self, encode: Callable[[list], list], most: int = 600_000, dtype: type = np.int32):
+    def __init__(self, encode: Callable[[list], tuple[np.ndarray, np.ndarray]], most: int = 600_000, dtype: type = np.int32):
         self.encode, self.most, self.dtype = encode, most, dtype
         self.clear()
 
@@ -32,10 +40,8 @@ class Memory:
         keys, self.index.new = self.index.new, []
         if not keys:
             return
-        got = self.encode(keys)
-        n = len(self.index)
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        total = int(sizes.sum())
+        got, sizes = self.encode(keys)
+        n, total = len(self.index), len(got)
         while len(self.size) < n:
             self.size, self.start = np.concatenate([self.size, np.zeros_like(self.size)]), np.concatenate([self.start, np.zeros_like(self.start)])
         while len(self.flat) < self.used + total:
@@ -43,7 +49,7 @@ class Memory:
         first = n - len(keys)
         self.size[first:n] = sizes
         self.start[first:n] = self.used + np.cumsum(sizes) - sizes
-        self.flat[self.used : self.used + total] = np.fromiter((x for y in got for x in y), self.dtype, total)
+        self.flat[self.used : self.used + total] = got
         self.used += total
 
     def places(self, keys: Sequence) -> np.ndarray:
@@ -57,10 +63,7 @@ class Memory:
     def joined(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of all keys one after the other, and how many each has."""
         sizes = self.size[places]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        at = np.arange(total) + np.repeat(self.start[places] - (ends - sizes), sizes)
-        return self.flat[at], sizes
+        return gather(self.flat, self.start[places], sizes), sizes
 
 
 def per_text(sizes: np.ndarray, counts: Sequence[int]) -> np.ndarray:

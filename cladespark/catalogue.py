@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import branch
-from .functions.alphabet import decode_state, encode_state
+from .functions.alphabet import AMINO, decode_state, encode_state
 from .functions.special import gamma_rates
 from .operators import alignment as al
 from .operators import likelihood as lk
@@ -166,6 +166,23 @@ def tip_join(spark: SparkSession, sf: str) -> DataFrame:
     return al.join_tips(names, spark.createDataFrame([(str(i),) for i in range(2, 9)], "taxon string"))
 
 
+_EXCLUDED = [(1, 500), (3000, 3100), (450, 700)]
+
+
+@query(with_base([f"x as (select * from piv where not ({' or '.join(f'site between {a} and {b}' for a, b in _EXCLUDED)}))"], f"select {CS}, count(*) as w from x group by {CS}"))
+def exclude_sites(spark: SparkSession, sf: str) -> DataFrame:
+    ranges = spark.createDataFrame(_EXCLUDED, "lo long, hi long")
+    return al.compress(al.exclude_sites(columns(spark, sf), ranges))
+
+
+@query(with_base(["pc as (select x.taxon, cast(4 * x.k + y.k as int) as code from cell x join cell y on x.taxon = y.taxon and y.site = x.site + 1 where x.site % 2 = 0)"], "select cast(taxon as int) as taxon, code, count(*) as n from pc group by 1, 2"))
+def paired_states(spark: SparkSession, sf: str) -> DataFrame:
+    """Each even site paired with the next one, as sixteen states."""
+    cells = al.canonical_cells(lineitem(spark, sf))
+    pairs = cells.where("site % 2 = 0").select(F.col("site").alias("a"), (F.col("site") + 1).alias("b")).distinct()
+    return al.paired_states(cells, pairs).groupBy("taxon", "code").agg(F.count("*").alias("n"))
+
+
 # trees --------------------------------------------------------------------------------------------------------
 
 
@@ -275,6 +292,38 @@ def tree_loglik_arrow(spark: SparkSession, sf: str) -> DataFrame:
     return each.agg(F.round(F.sum(F.col("w") * F.col("lnl")), 3).alias("lnl"), F.sum("w").alias("sites"), F.count("*").alias("patterns"))
 
 
+@query(with_base(_JC_STEPS, f"select site, round(lnl, 6) as lnl from piv join {_JC} using ({CS})"))
+def site_loglik_by_site(spark: SparkSession, sf: str) -> DataFrame:
+    """Log-likelihoods of patterns carried back to their sites."""
+    cols = columns(spark, sf)
+    each = lk.site_loglik(al.compress(cols), TREE, JC4)
+    return cols.join(each, C).select("site", F.round("lnl", 6).alias("lnl"))
+
+
+_MIX = md.mixture([md.jc69(), md.f84((0.3, 0.2, 0.25, 0.25), 1.5), md.tn93((0.2, 0.3, 0.3, 0.2), 2.0, 4.0), GTR4], (0.2, 0.6, 1.1, 2.1), (0.1, 0.2, 0.3, 0.4))
+_MIX_STEPS, _MIX_L = sqlgen.site_lnl(TREE, _MIX, "pat", ("w",), "x")
+
+
+@query(with_base(_MIX_STEPS, f"select round(sum(w * lnl), 3) as lnl from {_MIX_L}"))
+def mixture_loglik(spark: SparkSession, sf: str) -> DataFrame:
+    """One matrix per rate category, with free weights."""
+    return lk.tree_loglik(patterns(spark, sf), TREE, _MIX).select(F.round("lnl", 3).alias("lnl"))
+
+
+_AA = md.Model(tuple((i + 5) / 290 for i in range(20)), tuple(1.0 + (7 * i % 11) / 4 for i in range(190)), name="AA")
+_AA_BASE = "acell as (select l_orderkey as site, l_linenumber as taxon, min(l_partkey) % 20 as k from lineitem group by 1, 2), apiv as (select site, " + ", ".join(f"coalesce(max(case when taxon = {i} then 1 << cast(k as int) end), {(1 << 20) - 1}) as c{i}" for i in range(1, 8)) + f" from acell group by site), apat as (select {CS}, count(*) as w from apiv group by {CS})"
+_AA_STEPS, _AA_L = sqlgen.site_lnl(TREE, _AA, "apat", ("w",), "aa")
+
+
+@query(f"with {_AA_BASE}, " + ", ".join(_AA_STEPS) + f" select round(sum(w * lnl), 3) as lnl, count(*) as patterns from {_AA_L}")
+def amino_loglik(spark: SparkSession, sf: str) -> DataFrame:
+    """Twenty states: the line items read as residues."""
+    low = [F.min(F.when(F.col("l_linenumber") == k, F.col("l_partkey"))).alias(f"k{k}") for k in range(1, 8)]
+    cols = lineitem(spark, sf).groupBy("l_orderkey").agg(*low).select(*[F.coalesce((F.col(f"k{k}") % 20).cast("int"), F.lit(AMINO.undetermined)).alias(f"c{k}") for k in range(1, 8)])
+    each = lk.arrow_site_loglik(al.compress(cols), TREE, _AA, AMINO)
+    return each.agg(F.round(F.sum(F.col("w") * F.col("lnl")), 3).alias("lnl"), F.count("*").alias("patterns"))
+
+
 _PART_STEPS, _PART = sqlgen.site_lnl(TREE, GTR4, "pp", ("w", "partition"))
 _PP = f"pp as (select cast((site + 2) % 3 as int) as partition, {CS}, count(*) as w from piv where site >= 1 group by all)"
 

@@ -136,3 +136,18 @@ def check_lengths(sequences: DataFrame) -> DataFrame:
     n = sequences.select("taxon", F.length("seq").alias("n"))
     usual = n.groupBy("n").count().orderBy(F.desc("count"), "n").limit(1).select(F.col("n").alias("usual"))
     return n.join(F.broadcast(usual), n["n"] != F.col("usual"))
+
+
+def exclude_sites(columns: DataFrame, ranges: DataFrame) -> DataFrame:
+    """columns without the sites in (lo, hi) ranges, by an anti join on the expanded sites."""
+    gone = ranges.select(F.explode(F.sequence("lo", "hi")).alias("site")).distinct()
+    return columns.join(gone, "site", "left_anti")
+
+
+def paired_states(cells: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(taxon, a, b, code) for paired sites (a, b): 4 * first + second over the four determined states, else null."""
+    one = cells.select("taxon", F.col("site").alias("a"), F.col("code").alias("x"))
+    two = cells.select("taxon", F.col("site").alias("b"), F.col("code").alias("y"))
+    both = pairs.join(one, "a").join(two, ["taxon", "b"])
+    single = "bit_count(x) = 1 and bit_count(y) = 1"
+    return both.select("taxon", "a", "b", F.expr(f"if({single}, cast(4 * log2(x) + log2(y) as int), null)").alias("code"))

@@ -29,6 +29,10 @@ from .common import keep, text_slices, texts_of
 PERFECT_COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (1, 5, 11, 24, 25, 27)}
 
 
+#: Stands for a null id where texts are dealt out.
+NO_ID = -(1 << 63)
+
+
 def cover_for(window: int) -> tuple[int, tuple[int, ...]]:
     """The period and cover for windows of so many words: the longest period that leaves 60 % of it, or 19 words, to the anchor."""
     period = max(v for v in PERFECT_COVERS if window - v + 1 >= min(19, max(1, 0.6 * window)))
@@ -141,20 +145,22 @@ def _cut(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
 
 def remove_repeats(documents: DataFrame, window: int = 50) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (kept words joined by one space) of every row of documents."""
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # the key is never null, so that all joins deal the texts by one and the same exchange
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", F.coalesce("doc_id", F.lit(NO_ID)))
     named = docs.where("doc_id is not null")
     ids = named.mapInArrow(_anchors(window, True), "h long, doc_id long")
-    shared = ids.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
+    # grouped by more than the join's key, the shared side gets an exchange of its own: Spark can then split hot hashes
+    shared = ids.groupBy("h", F.expr("h & 1").alias("odd")).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("odd")
     anchors = named.mapInArrow(_anchors(window, False), "h long, doc_id long, pos int")
     hits = anchors.join(shared, "h").select("doc_id", F.expr("pos * 4 + if(doc_id < hi, 1, 0) + if(doc_id > lo, 2, 0)").alias("flag"))
     flags = keep(hits.groupBy("doc_id").agg(F.collect_list("flag").alias("flags")))
-    near = named.join(flags, "doc_id")
+    near = docs.join(flags.withColumnRenamed("doc_id", "key"), "key")
     schema = "h1 long, h2 long, doc_id long, pos int"
     earliest = near.mapInArrow(_windows(window, 1), schema).groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"))
     later = near.mapInArrow(_windows(window, 2), schema)
     found = later.join(earliest, ["h1", "h2"]).where("lo < doc_id").select("doc_id", F.struct("pos", "h1").alias("w"))
     found = found.groupBy("doc_id").agg(F.collect_list("w").alias("found"))
-    return docs.join(found, "doc_id", "left").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_text string")
+    return docs.join(found.withColumnRenamed("doc_id", "key"), "key", "left").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def digest(kept: DataFrame) -> DataFrame:

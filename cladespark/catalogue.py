@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from .functions import branch
 from .functions.alphabet import AMINO, decode_state, encode_state
+from .functions.alphabet import secondary as secondary_alphabet
 from .functions.special import gamma_rates
 from .operators import alignment as al
 from .operators import likelihood as lk
 from .operators import mcmc, msa, optimize, parsimony, search, splits, statalign
 from .plans import model as md
-from .plans import sqlgen, tree
+from .plans import secondary, sqlgen, tree
 
 #: The fixed tree over the seven taxa of the canonical alignment, and the rates of its four categories.
 TEXT = "(5:0.1,(4:0.2,(2:0.3,(7:0.15,(3:0.1,6:0.2):0.05):0.1):0.12):0.08,1:0.25);"
@@ -324,6 +325,22 @@ def amino_loglik(spark: SparkSession, sf: str) -> DataFrame:
     return each.agg(F.round(F.sum(F.col("w") * F.col("lnl")), 3).alias("lnl"), F.count("*").alias("patterns"))
 
 
+_PAIR_STATES = 16
+_S16 = secondary.paired_model("S16A", (1.5, 2.0, 0.8, 0.4, 1.0), [(i + 2) / 152 for i in range(16)])
+_S16_BASE = "scell as (select x.site as a, x.taxon, 4 * x.k + y.k as k from cell x join cell y on x.taxon = y.taxon and y.site = x.site + 1 where x.site % 2 = 0), spiv as (select a, " + ", ".join(f"coalesce(max(case when taxon = {i} then 1 << cast(k as int) end), 65535) as c{i}" for i in range(1, 8)) + f" from scell group by a), spat as (select {CS}, count(*) as w from spiv group by {CS})"
+_S16_STEPS, _S16_L = sqlgen.site_lnl(TREE, _S16, "spat", ("w",), "s16x")
+
+
+@query(with_base([_S16_BASE, *_S16_STEPS], f"select round(sum(w * lnl), 3) as lnl, cast(sum(w) as bigint) as pairs from {_S16_L}"))
+def paired_loglik(spark: SparkSession, sf: str) -> DataFrame:
+    """Even sites paired with the next one, under a sixteen-state model of paired sites."""
+    cells = al.canonical_cells(lineitem(spark, sf))
+    pairs = cells.where("site % 2 = 0").select(F.col("site").alias("a"), (F.col("site") + 1).alias("b")).distinct()
+    coded = al.paired_states(cells, pairs).select(F.col("a").alias("site"), "taxon", "code")
+    each = lk.arrow_site_loglik(al.compress(al.columns_from_cells(coded, range(1, 8), _PAIR_STATES)), TREE, _S16, secondary_alphabet(_PAIR_STATES))
+    return each.agg(F.round(F.sum(F.col("w") * F.col("lnl")), 3).alias("lnl"), F.sum("w").alias("pairs"))
+
+
 _PART_STEPS, _PART = sqlgen.site_lnl(TREE, GTR4, "pp", ("w", "partition"))
 _PP = f"pp as (select cast((site + 2) % 3 as int) as partition, {CS}, count(*) as w from piv where site >= 1 group by all)"
 

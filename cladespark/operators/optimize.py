@@ -109,6 +109,31 @@ def optimise_frequencies(patterns: DataFrame, tree: Tree, model: Model, sweeps:
     return made(x), lnl
 
 
+def optimise_mixture(patterns: DataFrame, tree: Tree, model: Model, sweeps: int = 1) -> tuple[Model, float]:
+    """Weights and rates of the categories of a mixture, one after the other, kept at a mean rate of 1."""
+    lnl = loglik_many(patterns, [(tree, model)])[0]
+
+    def made(weights: np.ndarray, rates: np.ndarray) -> Model:
+        w = weights / weights.sum()
+        r = np.clip(rates / (w @ rates), RATE_MIN, 1e3)
+        return replace(model, weights=tuple(w.tolist()), site_rates=tuple(r.tolist()), _eigen={})
+
+    for _ in range(sweeps):
+        for k in range(len(model.site_rates)):
+            for what in (0, 1):
+                now = [model.category_weights, np.array(model.site_rates)]
+                trials = []
+                for f in np.exp(np.linspace(-1.2, 1.2, 9)):
+                    new = [x.copy() for x in now]
+                    new[what][k] *= f
+                    trials.append(made(*new))
+                got = loglik_many(patterns, [(tree, t) for t in trials])
+                best = int(np.argmax(got))
+                if got[best] > lnl:
+                    model, lnl = trials[best], got[best]
+    return model, lnl
+
+
 def optimise_model(patterns: DataFrame, tree: Tree, model: Model, epsilon: float = 0.1, most_rounds: int = 8, symmetry: str | None = None) -> tuple[Tree, Model, float]:
     """Rates, alpha and branch lengths in turn until lnl gains less than epsilon."""
     lnl = -math.inf

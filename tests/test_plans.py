@@ -87,3 +87,29 @@ def test_read_matrix_and_criteria():
     assert np.allclose(m.p(0.7), md.equal(20).p(0.7))
     c = md.criteria(-100.0, 3, 50)
     assert c["aic"] == 206 and math.isclose(c["bic"], 3 * math.log(50) + 200)
+
+
+def test_paired_site_models():
+    from cladespark.plans import secondary as sec
+
+    assert sec.change("AU", "GC") == 0 and sec.change("AU", "GU") == 1 and sec.change("AU", "CG") == 2 and sec.change("AA", "AU") == 3 and sec.change("AA", "AC") == 4 and sec.change("AA", "CC") == -1
+    sizes = {"S6A": 15, "S6B": 3, "S6C": 3, "S6D": 2, "S6E": 2, "S7A": 21, "S7B": 21, "S7C": 10, "S7D": 4, "S7E": 2, "S7F": 4, "S16": 120, "S16A": 5, "S16B": 1}
+    for name, n in sizes.items():
+        groups, freqs = sec.symmetry(name)
+        assert max(groups) + 1 == n, name
+        k = len(freqs)
+        m = sec.paired_model(name, [1.0 + i for i in range(n)], [1 / k] * k)
+        assert np.allclose(m.p(0.3).sum(axis=1), 1)
+    assert sec.symmetry("S6C")[1] == [0, 1, 1, 2, 0, 2] and sec.symmetry("S7E")[0].count(0) == 4
+    with pytest.raises(ValueError):
+        sec.symmetry("S16C")
+
+
+def test_mixture_search_keeps_the_mean(monkeypatch):
+    from cladespark.operators import optimize
+
+    m = md.mixture([md.jc69()] * 4, (0.2, 0.6, 1.1, 2.1))
+    seen = []
+    monkeypatch.setattr(optimize, "loglik_many", lambda patterns, pairs: [seen.append(x) or -abs(x.weights[0] - 0.4) for _, x in pairs])
+    best, lnl = optimize.optimise_mixture(None, None, m)
+    assert lnl >= -0.15 and all(math.isclose(sum(x.weights), 1) and math.isclose(sum(w * r for w, r in zip(x.weights, x.site_rates)), 1) for x in seen[1:])

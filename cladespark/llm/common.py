@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -21,12 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
-    Where the setting is absent (tests on one machine) a folder of this process is set once."""
+    Where the setting is absent, a local session uses a temporary folder, set once, and a cluster its warehouse."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
         if kept.isDefined():
             base = kept.get()
+        elif not re.match(r"local(\[|$)", spark.sparkContext.master):
+            base = spark.conf.get("spark.sql.warehouse.dir") + "/_cladespark"
         else:
             import tempfile
 

@@ -106,7 +106,7 @@ class Consistency:
         key = left << 32 | right
         found = self.pairs.get(key)
         if found is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > 600_000:  # bounded memory; what is needed comes back soon
                 self.pairs.clear()
             a, b = self.model.pieces[left], self.model.pieces[right]
             found = self.pairs[key] = self.whole(right) and self.merged(a + b) == [a, b]

@@ -53,9 +53,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = vocabulary("piece_bpe_32k.model")
-    encoded = sentencepiece_codec.encode(table(spark, sf_dir, "documents"), path)
-    return sentencepiece_codec.with_digests(sentencepiece_codec.decode(encoded, path))
+    return sentencepiece_codec.with_digests(sentencepiece_codec.round_trip(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model")))
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

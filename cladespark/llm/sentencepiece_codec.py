@@ -147,7 +147,7 @@ def codec(path: str) -> tuple[Codec, Memory]:
         got = [made.pieces_of(k.replace(" ", SPACE)) for k in keys]
         return np.array(list(chain.from_iterable(got)), np.int32), np.fromiter(map(len, got), np.int64, len(got))
 
-    return made, Memory(encode, most=500_000)
+    return made, Memory(encode, most=300_000)
 
 
 def encode_texts(path: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -206,12 +206,34 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     return encoded.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).mapInArrow(_decode(model_path), "doc_id long, ids array<int>, decoded string")
 
 
+def _both(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, _ = codec(path)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                ids, sizes = encode_texts(path, py_texts(part.column("text")))
+                ends = np.cumsum(sizes)
+                raw = ids.astype("<u4").tobytes()
+                at = [*zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+                columns = [part.column("doc_id"), pa.array([raw[4 * a : 4 * b] for a, b in at], pa.binary()), pa.array([made.decode(ids[a:b].tolist()) for a, b in at], pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"])
+
+    return run
+
+
+def round_trip(documents: DataFrame, model_path: str) -> DataFrame:
+    """(doc_id, ids, decoded) of every row, as decode(encode(...)) in one pass; ids are little-endian unsigned 32-bit numbers."""
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(_both(model_path), "doc_id long, ids binary, decoded string")
+
+
 def with_digests(decoded: DataFrame) -> DataFrame:
-    """n_tokens, crc32 over the ids as comma-joined decimals, and the decoded text's length and SHA-256."""
+    """n_tokens, crc32 over the ids' bytes, and the decoded text's length and SHA-256, of rows of round_trip."""
     return decoded.select(
         "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.crc32(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary")).alias("ids_crc32"),
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.crc32("ids").alias("ids_crc32"),
         F.octet_length("decoded").cast("long").alias("decoded_bytes"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )

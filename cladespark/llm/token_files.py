@@ -213,7 +213,7 @@ def write_tokens(documents: DataFrame, tokenizer_path: str, out: str, end_id: in
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     bounds = order_bounds(docs, "doc_id", n_buckets(docs.sparkSession))
     docs = docs.withColumn("bucket", bucket_of(F.col("doc_id"), bounds)).withColumn("tie", F.xxhash64("text"))
-    # buckets go round-robin to partitions, so that a partition has few and equal parts of the order
+    # a bucket lies whole in one partition, in the order of the ids; a file holds one or more buckets, ascending
     parts = min(len(bounds) + 1, max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     dealt = docs.repartition(parts, "bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "tie").select("bucket", "doc_id", "text")
     dealt.mapInArrow(_segments(tokenizer_path, end_id), SCHEMA).write.parquet(out)

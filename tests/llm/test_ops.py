@@ -163,7 +163,12 @@ def test_encoding_equals_the_library_and_comes_back(spark, library):
     assert len(got) == len(rows)
     for r in got:
         assert list(r.ids) == library.encode(want[r.doc_id]) and r.decoded == want[r.doc_id].replace("▁", " ")
-    assert sentencepiece_codec.with_digests(sentencepiece_codec.decode(sentencepiece_codec.encode(frame(spark, [(1, "x")]).where("false"), path), path)).count() == 0
+    both = {r.doc_id: r for r in sentencepiece_codec.round_trip(frame(spark, rows), path).collect()}
+    for r in got:
+        assert np.frombuffer(both[r.doc_id].ids, "<u4").tolist() == list(r.ids) and both[r.doc_id].decoded == r.decoded
+    n = {r.doc_id: r.n_tokens for r in sentencepiece_codec.with_digests(sentencepiece_codec.round_trip(frame(spark, rows), path)).collect()}
+    assert all(n[r.doc_id] == len(r.ids) for r in got)
+    assert sentencepiece_codec.round_trip(frame(spark, [(1, "x")]).where("false"), path).count() == 0
 
 
 def test_unigram_viterbi_against_enumeration():

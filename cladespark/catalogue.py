@@ -668,7 +668,7 @@ def parsimony_tree(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def sample_trees(spark: SparkSession, sf: str) -> DataFrame:
-    out = mcmc.sample(patterns(spark, sf).orderBy(F.desc("w"), *C).limit(400), TREE, md.jc69().with_alpha(1.0), 4, 100, 50)
+    out = mcmc.sample(patterns(spark, sf), TREE, md.jc69().with_alpha(1.0), 4, 100, 50)
     return out.select("chain", "step", F.round("lnl", 3).alias("lnl"), F.round("accepted", 6).alias("accepted"), F.round("alpha", 6).alias("alpha"), F.round("tree_length", 6).alias("tree_length"), "topology")
 
 

@@ -198,6 +198,15 @@ def test_sampler_is_repeatable(patterns):
     assert got[0] == got[1] and len(got[0]) == 4
 
 
+def test_the_sampler_gets_every_pattern(spark, monkeypatch):
+    from cladespark import catalogue
+
+    seen = []
+    monkeypatch.setattr(mcmc, "sample", lambda patterns, *rest: seen.append(patterns) or spark.createDataFrame([(0, 1, -1.0, 0.5, 1.0, 1.0, "")], "chain int, step int, lnl double, accepted double, alpha double, tree_length double, topology string"))
+    catalogue.queries()["sample_trees"](spark, "/root/testdata/sf0.001")
+    assert seen[0].count() == catalogue.patterns(spark, "/root/testdata/sf0.001").count() > 400
+
+
 def all_histories(aligner, seqs, silent=12):
     """Probability by enumerating column sequences, with up to `silent` empty columns between emitting ones."""
     table = [aligner.moves(i) for i in range(len(aligner.states))]

@@ -2,15 +2,15 @@
 
 Texts become templates: words lower-cased without punctuation; numbers, names (capitalised words inside a sentence) and
 units after a number become typed placeholders, with their values kept aside. Windows of template words are hashed:
-every window of each benchmark item, every STRIDE-th of each document, so any shared run of WINDOW + STRIDE - 1 words
-meets. Where windows join, the slots are compared: within one alignment of a document with an item every value of the
+every window of each benchmark item, every stride-th of each document, so any shared run of WINDOW + stride - 1 words
+meets (the pipeline takes every window). Where windows join, the slots are compared: within one alignment of a document with an item every value of the
 item must stand for one value of the document, whichever it is. So a question whose numbers or names were exchanged is
 caught, and a chance likeness of templates isn't. A document leaks an item if consistent windows cover COVERED of it.
 
 The item side is small; it is broadcast while it has at most BROADCAST_WINDOWS windows, and joined by a shuffle beyond.
 No document text is shuffled.
 
-Defined results: null texts have no words; items of fewer than WINDOW words can't be recognised; rows that share an id
+Defined results: null texts have no words; items of fewer than WINDOW words can't be recognised unless `short`; rows that share an id
 are judged together, and null ids as one; repeated items are reported under each id; U+0001 to U+0003 in a text act as
 the marks of a name, a number or a unit; extra columns are ignored.
 """
@@ -45,19 +45,27 @@ def templates(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
     return rows.select(key, F.explode(F.array(F.struct(words.alias("words"), slots.alias("slots")))).alias("t")).select(key, "t.words", "t.slots")
 
 
-def windows(rows: DataFrame, key: str, stride: int) -> DataFrame:
+def windows(rows: DataFrame, key: str, stride: int, width: int = WINDOW) -> DataFrame:
     """(key, h, pos, slots) of every stride-th window; slots are joined by `|`, null where the whole text has none."""
-    one = F.expr(f"""transform(sequence(0, size(words) - {WINDOW}, {stride}), i -> struct(
-        xxhash64(slice(words, i + 1, {WINDOW})) as h, i as pos, array_join(slice(slots, i + 1, {WINDOW}), '|') as slots))""")
-    return rows.where(f"size(words) >= {WINDOW}").select(key, F.explode(one).alias("w")).select(key, "w.*")
+    one = F.expr(f"""transform(sequence(0, size(words) - {width}, {stride}), i -> struct(
+        xxhash64(slice(words, i + 1, {width})) as h, i as pos, array_join(slice(slots, i + 1, {width}), '|') as slots))""")
+    return rows.where(f"size(words) >= {width}").select(key, F.explode(one).alias("w")).select(key, "w.*")
 
 
-def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, n_windows, covered_words, item_words, n_changed) of each document with an item it leaks."""
-    docs = windows(templates(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id"), "doc_id", STRIDE)
+def leaks(documents: DataFrame, benchmark: DataFrame, stride: int = STRIDE, short: bool = False) -> DataFrame:
+    """(doc_id, item_id, n_windows, covered_words, item_words, n_changed) of each document with an item it leaks.
+
+    short: an item of fewer than WINDOW words is one window of its own length, if any of its words is literal."""
+    docs = templates(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id")
     items = keep(templates(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"), "item_id"))
-    side = keep(windows(items, "item_id", 1).select("item_id", "h", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots")))
-    met = docs.join(F.broadcast(side) if side.count() <= BROADCAST_WINDOWS else side, "h")
+    literal = items.where(f"size(words) < {WINDOW} and exists(words, w -> w >= '\u0004')")
+    widths = [WINDOW, *(sorted(r.n for r in literal.select(F.size("words").alias("n")).distinct().collect()) if short else [])]
+    met = None
+    for width in widths:
+        of = items if width == WINDOW else literal.where(F.size("words") == width)
+        side = keep(windows(of, "item_id", 1, width).select("item_id", "h", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots")))
+        one = windows(docs, "doc_id", stride if width == WINDOW else 1, width).join(F.broadcast(side) if side.count() <= BROADCAST_WINDOWS else side, "h")
+        met = one if met is None else met.union(one)
     met = keep(met.select("doc_id", "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), "slots", "item_slots").distinct())
     same = ["doc_id", "item_id", "shift"]
     pair = F.expr("explode(arrays_zip(split(item_slots, '[|]', -1), split(slots, '[|]', -1)))")
@@ -68,7 +76,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     on = [F.col(c).eqNullSafe(F.col(f"s_{c}")) for c in same]
     fine = met.join(slots, on, "left").where("most is null or most = 1").select("doc_id", "item_id", "item_pos", F.coalesce("changed", F.lit(0)).alias("changed"))
     cover = fine.groupBy("doc_id", "item_id").agg(F.count_distinct("item_pos").alias("n_windows"), F.max("changed").alias("n_changed"), F.collect_set("item_pos").alias("at"))  # at most a number for each word of the item
-    cover = cover.withColumn("covered_words", F.expr(f"cast(size(array_distinct(flatten(transform(at, p -> sequence(p, p + {WINDOW - 1}))))) as long)"))
     sizes = items.select(F.col("item_id").alias("s_item"), F.size("words").cast("long").alias("item_words")).distinct()
     out = cover.join(sizes, F.col("item_id").eqNullSafe(F.col("s_item")))
+    out = out.withColumn("covered_words", F.expr(f"cast(size(array_distinct(flatten(transform(at, p -> sequence(p, least(p + {WINDOW - 1}, cast(item_words as int) - 1)))))) as long)"))
     return out.where(F.col("covered_words") >= COVERED * F.col("item_words")).select("doc_id", "item_id", "n_windows", "covered_words", "item_words", "n_changed")

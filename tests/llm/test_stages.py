@@ -77,3 +77,20 @@ def test_stars_do_not_depend_on_batches(size):
     batches = [pa.RecordBatch.from_pydict({"node": pa.array([n for _, n in rows[i : i + size]], pa.int64()), "band": pa.array([b for b, _ in rows[i : i + size]], pa.int64())}) for i in range(0, len(rows), size)]
     got = [(x["a"], x["b"]) for batch in jaccard._stars(iter(batches)) for x in batch.to_pylist()]
     assert got == [(5, 6), (5, 9), (1, 2), (0, 3), (0, 7), (0, 11)]
+
+
+def bench_dir(spark, tmp_path, items):
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    return str(tmp_path)
+
+
+def test_leaks_at_every_place_and_length(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    rng = random.Random(5)
+    fill = lambda n: " ".join("f" + w for w in prose(rng, n))
+    items = [(n, " ".join(prose(rng, n))) for n in (4, 7, 8, 9, 10)]
+    rows = [(10 * n + at, f"{fill(20 + at)} {text} {fill(30)}") for n, text in items for at in range(4)]
+    clean = [(1000 + i, fill(60)) for i in range(5)]
+    sf = bench_dir(spark, tmp_path, [*items, (50, "Zoe 12"), (51, None)])
+    assert {r.doc_id for r in cp.decontaminate(spark, frame(spark, rows + clean), sf).collect()} == {i for i, _ in clean}

@@ -94,3 +94,26 @@ def test_leaks_at_every_place_and_length(spark, tmp_path):
     clean = [(1000 + i, fill(60)) for i in range(5)]
     sf = bench_dir(spark, tmp_path, [*items, (50, "Zoe 12"), (51, None)])
     assert {r.doc_id for r in cp.decontaminate(spark, frame(spark, rows + clean), sf).collect()} == {i for i, _ in clean}
+
+
+def left(df):
+    return sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+
+
+def test_rows_without_or_with_shared_ids_stand_alone(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    rng = random.Random(6)
+    good = [" ".join(prose(rng, 40)) for _ in range(6)]
+    bad = "one two three four five six seven eight " * 20
+    spark.createDataFrame([(99, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    sf = bench_dir(spark, tmp_path, [(1, " ".join(prose(rng, 20)))])
+    leak = f"{good[5]} {spark.read.parquet(f'{tmp_path}/benchmark.parquet').first().text} {good[4]}"
+    rows = [(None, good[0]), (None, bad), (7, good[1]), (7, bad), (None, None), (8, good[2])]
+    assert left(cp.quality_rules(spark, frame(spark, rows), sf)) == sorted([rows[0], rows[2], rows[5]], key=repr)
+    rows = [(None, good[0]), (None, leak), (7, good[1]), (7, leak), (None, None)]
+    assert left(cp.decontaminate(spark, frame(spark, rows), sf)) == sorted([rows[0], rows[2], rows[4]], key=repr)
+    near = good[3] + " more"
+    rows = [(5, good[0]), (5, good[0]), (None, good[0]), (None, good[1]), (None, good[1]), (9, good[2]), (9, near), (None, good[3]), (4, good[4]), (3, good[4]), (3, good[5])]
+    want = [(5, good[0]), (None, good[1]), (9, good[2]), (9, near), (3, good[4]), (3, good[5])]
+    assert left(cp.near_dedup(spark, frame(spark, rows), sf)) == sorted(want, key=repr)

@@ -81,6 +81,14 @@ def n_buckets(spark: SparkSession, least: int = 64, most: int = 1024) -> int:
     return max(least, min(most, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
+def parts_for(df: DataFrame, part_bytes: int = 128 << 20, most: int = 50_000) -> int:
+    """How many partitions a sort of df is dealt into: the session's, or more, so that each has about part_bytes of the input
+    files, up to `most` (beyond that partitions grow, and the sort spills). The size is the planner's estimate, so nothing is read;
+    where it has none (rows that aren't from files), the session's number holds."""
+    size, unknown = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()), (1 << 63) - 1
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(most, -(-size // part_bytes)) if size < unknown else 1)
+
+
 def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and the n + 1 offsets into them; a null text is empty."""
     if isinstance(column, pa.ChunkedArray):

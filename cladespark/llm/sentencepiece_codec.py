@@ -1,16 +1,19 @@
 """SentencePiece encoding and decoding: an Aho-Corasick automaton over the pieces drives a single-pass Viterbi.
 
 The automaton reads each character once. At every position the output links lead through all pieces that end
-there, longest first, and each relaxes the best score of the position from that of its start. For a unigram model the
-score is the sum of the pieces' scores. For a merge-based model a piece may only follow a piece with which it
-stands in the merge order (see Consistency); one piece fits at each position, and the result equals the
-library's. A character that no piece covers becomes its bytes, or the unknown id.
+there, longest first, and each relaxes the best score of the position: that of its start plus the piece's own. For a unigram
+model the own score is the piece's; for a merge-based model it is 0 where the piece stands in merge order with the best piece
+before it (see Consistency) and minus infinity elsewhere. There one piece alone reaches 0 at each position, and the result
+equals the library's. A character that no piece covers becomes its bytes, or the unknown id.
+
+Texts are cut first where no piece can span (see segments), and a distinct segment is encoded once for each batch or less often.
 
 Decoding joins the pieces, turns byte pieces back into bytes and drops the prefix space: the text comes back
 exactly (but for U+2581, which the format itself reads as a space, and for unknown ids without byte fallback).
 
-Defined results: a null or empty text has no ids and decodes to the empty text; a null list of ids likewise;
-null document ids and repeated rows are encoded like any other; extra columns are ignored.
+Defined results: a null or empty text has no ids and decodes to the empty text; a null list of ids likewise; an empty table
+gives no rows; a text of any length is encoded whole (segments over wordcache.LONG bytes aren't kept in memory); null document ids
+and repeated rows are encoded like any other; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,10 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import piece_model
-from .common import py_texts
+from .common import SLICE_BYTES, py_texts, text_slices
 from .piece_model import BYTE, CONTROL, SPACE, Consistency, PieceModel
-from .token_counts import chunks
-from .wordcache import Memory, per_text
+from .segments import segments
+from .wordcache import Memory, distinct, per_text
 
 
 class Automaton:
@@ -66,17 +69,41 @@ class Automaton:
         self.first = [x if self.piece[x] >= 0 else self.output[x] for x in range(len(self.step))]
 
 
+class PieceScores(dict):
+    """own[last * stride + piece] of a unigram model: the piece's score, whatever stands before (stride 0)."""
+
+    stride, most = 0, float("inf")
+
+    def __init__(self, model: PieceModel):
+        super().__init__(enumerate(model.scores))
+
+
+class MergeScores(dict):
+    """own[last * stride + piece] of a merge-based model: 0 if piece may follow last (-1: nothing that merges), else minus infinity."""
+
+    stride, most = 1 << 32, 0.0
+
+    def __init__(self, model: PieceModel, entries: int = 600_000):
+        super().__init__()
+        self.rule, self.entries = Consistency(model), entries
+
+    def __missing__(self, key: int) -> float:
+        if len(self) > self.entries:  # bounded memory; what is needed comes back soon
+            self.clear()
+        value = self[key] = 0.0 if self.rule.fits(*divmod(key, self.stride)) else float("-inf")
+        return value
+
+
 class Codec:
     def __init__(self, model: PieceModel):
-        self.model, self.auto, self.rule = model, Automaton(model), Consistency(model)
-        low = min(model.scores, default=0.0)
-        self.unknown_score = low - 10.0
+        self.model, self.auto = model, Automaton(model)
+        self.own = MergeScores(model) if model.bpe else PieceScores(model)
+        self.unknown_score = 0.0 if model.bpe else min(model.scores, default=0.0) - 10.0
         self.bytes_of = [b"" if k == CONTROL else bytes([int(p[1:-1], 16)]) if k == BYTE else " ⁇ ".encode() if i == model.unknown else p.replace(SPACE, " ").encode() for i, (p, k) in enumerate(zip(model.pieces, model.kinds, strict=True))]
 
     def pieces_of(self, text: str) -> list[int]:
         """Ids for text, whose spaces are SPACE already."""
-        best_of = self._merged if self.model.bpe else self._best
-        last, back = best_of(text)
+        last, back = self.best_paths(text)
         i = len(text)
         out: list[list[int]] = []
         while i:
@@ -84,36 +111,12 @@ class Codec:
             i = back[i]
         return [x for part in reversed(out) for x in part]
 
-    def _best(self, text: str) -> tuple[list[int], list[int]]:
+    def best_paths(self, text: str) -> tuple[list[int], list[int]]:
         """For each position the last piece of the best path to it (-1: an unknown character) and where it starts."""
-        auto, scores, low = self.auto, self.model.scores, float("-inf")
-        step, fail, output, piece, length = auto.step, auto.fail, auto.output, auto.piece, auto.length
-        n = len(text)
-        best, last, back = [0.0] * (n + 1), [-1] * (n + 1), [0] * (n + 1)
-        node = 0
-        for i, c in enumerate(text, 1):
-            while node and c not in step[node]:
-                node = fail[node]
-            node = step[node].get(c, 0)
-            top, at, single = low, node if piece[node] >= 0 else output[node], False
-            while at:
-                start = i - length[at]
-                single = single or length[at] == 1
-                score = best[start] + scores[piece[at]]
-                if score > top:
-                    top, last[i], back[i] = score, piece[at], start
-                at = output[at]
-            if not single and best[i - 1] + self.unknown_score > top:
-                top, last[i], back[i] = best[i - 1] + self.unknown_score, -1, i - 1
-            best[i] = top
-        return last, back
-
-    def _merged(self, text: str) -> tuple[list[int], list[int]]:
-        """As _best; a path is as good as its last two pieces are consistent, so the one that fits is the best."""
-        auto, fits, known = self.auto, self.rule.fits, self.rule.pairs.get
+        auto, own, stride, most = self.auto, self.own, self.own.stride, self.own.most
         step, fail, output, piece, length, first = auto.step, auto.fail, auto.output, auto.piece, auto.length, auto.first
-        n = len(text)
-        last, back = [-1] * (n + 1), [0] * (n + 1)
+        n, low = len(text), float("-inf")
+        best, last, back = [0.0] * (n + 1), [-1] * (n + 1), [0] * (n + 1)
         node = i = 0
         for c in text:
             i += 1
@@ -122,16 +125,21 @@ class Codec:
                 node = fail[node]
                 to = step[node].get(c)
             node = to or 0
-            at = first[node]
-            back[i] = i - 1
+            at, top, single = first[node], low, False
             while at:
-                start, k = i - length[at], piece[at]
-                before = last[start]
-                fit = known(before << 32 | k) if before >= 0 else None
-                if fit or fit is None and fits(before, k):
-                    last[i], back[i] = k, start
-                    break
+                size, k = length[at], piece[at]
+                start = i - size
+                single = single or size == 1
+                score = best[start] + own[last[start] * stride + k]
+                if score > top:
+                    top, last[i], back[i] = score, k, start
+                    if score >= most:
+                        break  # no piece can do better
                 at = output[at]
+            if top == low or top < best[i - 1] + self.unknown_score and not single:
+                top, back[i] = best[i - 1] + self.unknown_score, i - 1
+                last[i] = -1
+            best[i] = top
         return last, back
 
     def decode(self, ids: list[int] | np.ndarray) -> str:
@@ -143,36 +151,26 @@ class Codec:
 def codec(path: str) -> tuple[Codec, Memory]:
     made = Codec(piece_model.load(path))
 
-    def encode(keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        got = [made.pieces_of(k.replace(" ", SPACE)) for k in keys]
+    def encode(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        got = [made.pieces_of(k.decode().replace(" ", SPACE)) for k in keys]
         return np.array(list(chain.from_iterable(got)), np.int32), np.fromiter(map(len, got), np.int64, len(got))
 
-    return made, Memory(encode, most=300_000)
+    return made, Memory(encode)
 
 
 def encode_texts(path: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all texts one after the other, and how many each has."""
-    made, memory = codec(path)
-    ids, sizes = [], []
-    held: list[str] = []
-    n: list[int] = []
-    for i, text in enumerate(texts):
-        cut = chunks(made.model, text)
-        held += cut
-        n.append(len(cut))
-        if len(held) > 200_000 or i + 1 == len(texts):
-            got, size = memory.joined(memory.places(held))
-            ids.append(got)
-            sizes.append(per_text(size, n))
-            held, n = [], []
-    return (np.concatenate(ids), np.concatenate(sizes)) if ids else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+    data, at, counts = segments(path).of(texts)
+    keys, which = distinct(data, at)
+    ids, sizes = codec(path)[1].joined(keys, which)
+    return ids, per_text(sizes, counts)
 
 
 def _encode(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
+            for lo, hi, _, _ in text_slices(batch, limit=2 * SLICE_BYTES):
+                part = batch.slice(lo, hi - lo)
                 ids, sizes = encode_texts(path, py_texts(part.column("text")))
                 offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in part.schema.names if c != "text"), pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))], [*(c for c in part.schema.names if c != "text"), "ids"])
@@ -210,8 +208,8 @@ def _both(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, _ = codec(path)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for lo, hi, _, _ in text_slices(batch, limit=2 * SLICE_BYTES):
+                part = batch.slice(lo, hi - lo)
                 ids, sizes = encode_texts(path, py_texts(part.column("text")))
                 ends = np.cumsum(sizes)
                 raw = ids.astype("<u4").tobytes()

@@ -7,19 +7,19 @@ the piece that ends at that start and how many tokens that prefix has relative t
 annotated with the change of the token count. The machine is compiled lazily: a (state, character) pair is
 determinised when it is first met, then read from a table.
 
-Before a space that follows another character, and round a line feed, the state doesn't depend on what was read.
-Texts are cut there, and the map of such a chunk from entry states to (exit state, count) is constant: chunks
-compose by adding (a prefix sum over all chunks of a batch), and frequent chunks are counted once. A long run
-without such a place is cut into chunks of fixed length whose state maps are functions of the entry state; they
-compose pairwise in a tree.
+Between two characters that no piece holds side by side (before most spaces, round a line feed) the state doesn't depend on
+what was read. Texts are cut there, and the map of such a segment from entry states to (exit state, count) is constant:
+segments compose by adding (a prefix sum over all segments of a batch), and a segment is read once for each batch or less often.
+A long run without such a place is cut into chunks of fixed length; the map of each over its live entry states is made
+without knowing the others, and a parallel prefix scan composes them.
 
 Counts equal the library's encoding without begin and end tokens. Defined results: a null or empty text has no
-tokens and no bytes; null ids and repeated rows are counted like any other; extra columns are ignored.
+tokens and no bytes; an empty table gives no rows; a text of any length is counted whole (segments over wordcache.LONG bytes aren't
+kept in memory); null ids and repeated rows are counted like any other; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -29,12 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import piece_model
-from .common import py_texts, texts_of
+from .common import SLICE_BYTES, py_texts, text_slices
 from .piece_model import SPACE, Consistency, PieceModel
-from .wordcache import Memory, per_text
+from .segments import segments
+from .wordcache import Memory, distinct, per_text
 
-#: A chunk of up to this many characters is read at once; longer runs are cut into chunks of this length.
+#: A run of up to this many characters is read at once; longer ones are cut into chunks of this length.
 CHUNK = 512
+#: Characters before a chunk from which its entry states are foreseen, and from how many places there the reading starts.
+LOOK_BACK, LOOK_STARTS = 64, 4
 
 
 class Transducer:
@@ -92,94 +95,72 @@ class Transducer:
         return state, total
 
     def count(self, text: str) -> int:
-        """Tokens of one run that stands alone, by composing the state maps of its chunks."""
+        """Tokens of one run that stands alone; a long one by a prefix scan over the state maps of its chunks."""
         if len(self.states) > self.most_states:
             self.reset()
         if len(text) <= CHUNK:
             return self.run(text)[1]
-        return compose([ChunkMap(self, text[i : i + CHUNK]) for i in range(0, len(text), CHUNK)])(0)[1]
-
-
-class ChunkMap:
-    """The map of one chunk from entry states to (exit state, count), filled for the entries that are asked for."""
-
-    def __init__(self, machine: Transducer, text: str):
-        self.machine, self.text, self.known = machine, text, {}
-
-    def __call__(self, entry: int) -> tuple[int, int]:
-        if entry not in self.known:
-            self.known[entry] = self.machine.run(self.text, entry)
-        return self.known[entry]
-
-
-class Composed:
-    def __init__(self, first: Callable, second: Callable):
-        self.first, self.second = first, second
-
-    def __call__(self, entry: int) -> tuple[int, int]:
-        middle, a = self.first(entry)
-        last, b = self.second(middle)
-        return last, a + b
-
-
-def compose(maps: list) -> Callable[[int], tuple[int, int]]:
-    """The tree-shaped composition of chunk maps in order."""
-    while len(maps) > 1:
-        maps = [Composed(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-    return maps[0]
-
-
-@lru_cache(maxsize=4)
-def _cutter(words_apart: bool, line_breaks: bool) -> re.Pattern:
-    if not words_apart:
-        return re.compile(r"(?s:.+)")
-    return re.compile(r" *[^ \n]+|\n| +" if line_breaks else r" *[^ ]+| +")
-
-
-def chunks(model: PieceModel, text: str) -> list[str]:
-    """The text with its prefix space, cut where nothing merges; spaces stand for SPACE."""
-    if not text:
-        return []
-    if SPACE in text:
-        text = text.replace(SPACE, " ")
-    return _cutter(model.words_apart, model.line_breaks).findall(" " + text if model.dummy_prefix else text)
+        return prefix_scan(self.chunk_maps([text[i : i + CHUNK] for i in range(0, len(text), CHUNK)]))[-1][0][1]
+
+    def chunk_maps(self, parts: list[str]) -> list[dict[int, tuple[int, int]]]:
+        """For each chunk the map of its live entry states to (exit state, count).
+
+        Every chunk is read on its own from the states in which a reader may stand after LOOK_BACK characters before it,
+        whatever came earlier. Where the neighbour on the left leaves in a state that this missed, the chunk is read from that
+        state too, until each map knows every exit of the map before it."""
+        entries = [{0}, *({self.run(p[-LOOK_BACK:][k:])[0] for k in range(LOOK_STARTS)} for p in parts[:-1])]
+        maps = [{e: self.run(p, e) for e in sorted(live)} for p, live in zip(parts, entries, strict=True)]
+        todo = list(range(1, len(parts)))
+        while todo:
+            again = []
+            for i in todo:
+                missed = {x for x, _ in maps[i - 1].values()} - maps[i].keys()
+                if missed:
+                    maps[i] |= {e: self.run(parts[i], e) for e in sorted(missed)}
+                    again.append(i + 1)
+            todo = [i for i in again if i < len(parts)]
+        return maps
+
+
+def composed(first: dict[int, tuple[int, int]], second: dict[int, tuple[int, int]]) -> dict[int, tuple[int, int]]:
+    """The map of two neighbouring runs, for every entry state of the first."""
+    return {e: (second[x][0], n + second[x][1]) for e, (x, n) in first.items()}
+
+
+def prefix_scan(maps: list[dict[int, tuple[int, int]]]) -> list[dict[int, tuple[int, int]]]:
+    """The composition of maps[0] to maps[i] for each i, by doubling: after step k every map spans 2**k chunks, and all
+    compositions of a step are independent of each other."""
+    out, width = list(maps), 1
+    while width < len(out):
+        out = [composed(out[i - width], out[i]) if i >= width else out[i] for i in range(len(out))]
+        width *= 2
+    return out
 
 
 @lru_cache(maxsize=2)
-def _memory(path: str) -> tuple[PieceModel, Memory]:
+def _memory(path: str) -> tuple[PieceModel, Transducer, Memory]:
     model = piece_model.load(path)
     if not model.bpe:
         raise ValueError("token counts need a merge-based model")
     machine = Transducer(model)
-    return model, Memory(lambda keys: (np.fromiter((machine.count(k.replace(" ", SPACE)) for k in keys), np.int32, len(keys)), np.ones(len(keys), np.int64)))
+    return model, machine, Memory(lambda keys: (np.fromiter((machine.count(k.decode().replace(" ", SPACE)) for k in keys), np.int32, len(keys)), np.ones(len(keys), np.int64)))
 
 
 def count_texts(path: str, texts: list[str]) -> np.ndarray:
-    model, memory = _memory(path)
-    out = np.zeros(len(texts), np.int64)
-    held: list[str] = []
-    n: list[int] = []
-    first = 0
-    for i, text in enumerate(texts):
-        cut = chunks(model, text)
-        held += cut
-        n.append(len(cut))
-        if len(held) > 200_000 or i + 1 == len(texts):
-            long = [j for j, x in enumerate(held) if len(x) > CHUNK]  # not worth keeping
-            counts = memory.joined(memory.places([x if len(x) <= CHUNK else "" for x in held] if long else held))[0].astype(np.int64)
-            for j in long:
-                counts[j] = memory.encode([held[j]])[0][0]
-            out[first : i + 1] = per_text(counts, n)
-            held, n, first = [], [], i + 1
-    return out
+    """Tokens of each text: a segment's state map is constant (nothing spans its ends), so segments compose by a prefix sum."""
+    memory = _memory(path)[2]
+    data, at, counts = segments(path).of(texts)
+    keys, which = distinct(data, at)
+    flat, starts, _ = memory.of(keys)
+    return per_text(flat[starts].astype(np.int64)[which], counts)
 
 
 def _batches(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
-                size = np.diff(texts_of(part.column("text"))[1])
+            for lo, hi, _, at in text_slices(batch, limit=2 * SLICE_BYTES):
+                part = batch.slice(lo, hi - lo)
+                size = np.diff(at)
                 count = count_texts(path, py_texts(part.column("text")))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size), pa.array(count)], ["doc_id", "n_bytes", "n_tokens"])
 

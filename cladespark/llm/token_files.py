@@ -5,11 +5,13 @@ by falling frequency; a token is the rank of its id in that list, in one to four
 ids take one byte. The lengths lie apart, four to a control byte. Decoding is numpy alone: a table turns each
 control byte into four lengths, their running sum gives the places, and the list turns ranks into ids.
 
-Segments lie in Parquet rows: the writer's commit makes a file whole or absent when an executor is lost, any store
-can hold them, and the global start of a document comes from the totals of the order buckets (one number each).
+Documents are dealt by ranges of (id, hash of the text), into as many buckets as the bytes need, so a hot id is split. Segments
+lie in Parquet rows: the writer's commit makes a file whole or absent when an executor is lost, any store can hold them, and
+the global start of a document comes from the totals of the buckets (one number each).
 
-Defined results: a null or empty text has the end id only; null document ids come first; rows that share an id are
-ordered by the hash of their text, after which they are alike; extra columns are ignored.
+Defined results: a null or empty text has the end id only; an empty table gives no rows; a text of any length is encoded whole
+(one segment); null document ids come first; rows that share an id are ordered by the hash of their text, after which they are
+alike; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,11 +22,12 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bucket_of, n_buckets, order_bounds, texts_of
-from .wordcache import Memory, gather, per_text
+from .common import SLICE_BYTES, parts_for, text_slices
+from .wordcache import Memory, distinct, gather, per_text
 
 #: A segment is closed when it has as many ids or documents; a longer document is a segment of its own.
 SEGMENT_IDS, SEGMENT_DOCS = 1 << 16, 1 << 12
@@ -79,12 +82,22 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
 
 
+#: Characters below this are cut by table; fixed values: the kinds of characters.
+LIMIT = 0x250
+GAP, LETTER, NUMBER, OTHER, HARD = range(5)
+
+
+#: Fixed value: the pattern that the table stands for.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 class WordTokens:
     """The library's ids for words, runs without ASCII white space.
 
-    White space is dropped by this tokenizer, so a text's ids are those of its words one after the other. A word of
-    letters below U+0250 is lower-cased and cut by the vocabulary's own pattern here, and only its distinct parts go
-    through the library's merges; any other word goes through the whole library."""
+    White space is dropped by this tokenizer, so a text's ids are those of its words one after the other. A plain word (characters
+    below LIMIT, no apostrophe, no special string) is cut by table into parts, as the vocabulary's pattern says: a run of
+    letters, one number, a run of others. Only the distinct parts of a batch are looked up, and those not known yet go through the
+    library's merges. Any other word goes through the whole library."""
 
     def __init__(self, path: str):
         import os
@@ -101,11 +114,9 @@ class WordTokens:
         said = json.load(open(path))
         split = said["pre_tokenizer"]["pretokenizers"][0] if said.get("pre_tokenizer", {}).get("type") == "Sequence" else {}
         steps = [x["type"] for x in (said.get("normalizer") or {}).get("normalizers", [])]
-        if steps != ["NFC", "Replace", "Lowercase"] or split.get("type") != "Split":
+        if steps != ["NFC", "Replace", "Lowercase"] or split.get("type") != "Split" or split["pattern"].get("Regex") != PATTERN:
             raise ValueError("a tokenizer that lower-cases and drops white space is expected")
-        self.plain = re.compile("[!-~¡-¬®-ɏ]+").fullmatch
-        self.cut = regex.compile(split["pattern"]["Regex"]).findall
-        self.special = re.compile("|".join(re.escape(x["content"]) for x in said.get("added_tokens", [])) or "(?!)").search
+        self.special = re.compile(b"|".join(re.escape(x["content"].encode()) for x in said.get("added_tokens", [])) or b"(?!)")
         self.merges = Tokenizer(self.whole.model)
         self.merges.pre_tokenizer = WhitespaceSplit()
         self.letters = _byte_letters()
@@ -113,11 +124,20 @@ class WordTokens:
         size = self.whole.get_vocab_size()
         self.last = np.zeros(size, bool)
         self.last[[i for t, i in said["model"]["vocab"].items() if t.endswith(suffix)]] = True
-        self.parts = Memory(self._parts, most=1_000_000)
-
-    def _parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        self.kind, self.lower = np.full(LIMIT + 1, HARD, np.uint8), np.zeros(LIMIT + 1, np.uint32)
+        plain = re.compile("[!-&(-~¡-¬®-ɏ]").fullmatch  # no control characters, no-break space, apostrophe or soft hyphen
+        for point in range(LIMIT):
+            c = chr(point)
+            if point == 0x20 or 0x09 <= point <= 0x0D:
+                self.kind[point] = GAP
+            elif plain(c) and len(c.lower()) == 1 and ord(c.lower()) < LIMIT:
+                self.kind[point] = LETTER if regex.match(r"\p{L}", c.lower()) else NUMBER if regex.match(r"\p{N}", c.lower()) else OTHER
+                self.lower[point] = ord(c.lower())
+        self.parts, self.words = Memory(self._parts), Memory(self._words, most=200_000)
+
+    def _parts(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         get = self.letters
-        written = [p if p.isascii() else "".join([get[b] for b in p.encode()]) for p in parts]  # printable ASCII stands for itself
+        written = [p.decode() if p.isascii() else "".join([get[b] for b in p]) for p in parts]  # printable ASCII stands for itself
         got = self.merges.encode_batch_fast([" ".join(written[i : i + 64]) for i in range(0, len(written), 64)], add_special_tokens=False)
         ids = np.concatenate([np.array(g.ids, np.int32) for g in got])
         ends = np.flatnonzero(self.last[ids])
@@ -125,51 +145,86 @@ class WordTokens:
             raise RuntimeError("each part must end in one end-of-word token")
         return ids, np.diff(ends, prepend=-1)
 
-    def words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        texts = [w.decode() for w in words]
-        plain, special, find = self.plain, self.special, self.cut
-        cut = [find(t.lower()) if plain(t) and not special(t) else None for t in texts]
-        flat, sizes = self.parts.joined(self.parts.places(list(chain.from_iterable(filter(None, cut)))))
-        n = per_text(sizes, [len(c) if c else 0 for c in cut])
-        hard = [i for i, c in enumerate(cut) if c is None]
-        if not hard:
-            return flat, n
-        got = [e.ids for e in self.whole.encode_batch_fast([texts[i] for i in hard], add_special_tokens=False)]
-        starts = np.cumsum(n) - n
-        n[hard] = [len(g) for g in got]
-        starts[hard] = len(flat) + np.cumsum(n[hard]) - n[hard]
-        whole = np.concatenate([flat, np.array(list(chain.from_iterable(got)), np.int32)])
-        return gather(whole, starts, n), n
+    def _words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        got = [e.ids for e in self.whole.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        return np.array(list(chain.from_iterable(got)), np.int32), np.fromiter(map(len, got), np.int64, len(got))
+
+    def texts(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts raw[at[i] : at[i + 1]], and how many each has."""
+        data = raw.tobytes()
+        if not data:
+            return np.zeros(0, np.int32), np.zeros(len(at) - 1, np.int64)
+        points = np.frombuffer(data.decode().encode("utf-32-le"), np.uint32)
+        if len(points) == len(raw):
+            firsts, byte = at, None
+        else:
+            byte = np.flatnonzero((raw & 0xC0) != 0x80)  # where each character begins
+            firsts = np.searchsorted(byte, at)
+        low = np.minimum(points, LIMIT)
+        kind = self.kind[low]
+        cut = np.zeros(len(points) + 1, bool)
+        cut[firsts] = True
+        cut = cut[:-1]
+        before = np.concatenate([[GAP], kind[:-1]]).astype(np.uint8)
+        # words that hold a character which the table can't judge, or a special string
+        bad = kind == HARD
+        if b"<" in data:
+            for m in self.special.finditer(data):
+                bad[np.searchsorted(byte, m.start()) if byte is not None else m.start()] = True
+        starts = np.flatnonzero((kind != GAP) & (cut | (before == GAP)))  # of words
+        n_bad = np.concatenate([[0], np.cumsum(bad)])
+        ends = np.flatnonzero((kind != GAP) & (np.append(cut[1:], True) | (np.append(kind[1:], GAP) == GAP))) + 1
+        hard = n_bad[ends] > n_bad[starts]
+        inside = np.zeros(len(points) + 1, np.int8)
+        np.add.at(inside, starts[hard], 1)
+        np.add.at(inside, ends[hard], -1)
+        easy = (kind != GAP) & (np.cumsum(inside[:-1], dtype=np.int8) == 0)
+        opens = easy & (cut | (before != kind) | (kind == NUMBER))
+        where = np.flatnonzero(opens)  # of parts
+        lowered = self.lower[low[easy]]
+        wide = lowered >= 0x80
+        text = lowered.astype("<u4").tobytes().decode("utf-32-le").encode()
+        place = (np.cumsum(easy) - 1)[where]
+        if wide.any():
+            place = (np.cumsum(1 + wide) - 1 - wide)[place]
+        keys, which = distinct(text, np.append(place, len(text)))
+        flat, start, size = self.parts.of(keys)
+        start, size = start[which], size[which]
+        if hard.any():
+            begin, stop = starts[hard], ends[hard]
+            if byte is not None:
+                edge = np.append(byte, len(raw))
+                begin, stop = edge[begin], edge[stop]
+            words = [data[a:b] for a, b in zip(begin.tolist(), stop.tolist(), strict=True)]
+            every, of = distinct(b"".join(words), np.concatenate([[0], np.cumsum([len(w) for w in words])]))
+            more, s, n = self.words.of(every)
+            order = np.argsort(np.concatenate([where, starts[hard]]), kind="stable")
+            start, size = np.concatenate([start, len(flat) + s[of]])[order], np.concatenate([size, n[of]])[order]
+            flat, where = np.concatenate([flat, more]), np.concatenate([where, starts[hard]])[order]
+        return gather(flat, start, size), per_text(size, np.diff(np.searchsorted(where, firsts)))
 
 
 @lru_cache(maxsize=2)
-def _tokens(path: str) -> Memory:
-    return Memory(WordTokens(path).words, most=700_000)
+def _tokens(path: str) -> WordTokens:
+    return WordTokens(path)
 
 
 def encode_texts(path: str, end_id: int, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The ids of the texts raw[at[i]:at[i+1]], each with its end id, and how many each has."""
-    memory, data = _tokens(path), raw.tobytes()
-    words, counts = [], []
-    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-        cut = data[a:b].split()
-        words += cut
-        counts.append(len(cut))
-    ids, sizes = memory.joined(memory.places(words))
-    n = per_text(sizes, counts)
-    ends = np.cumsum(n)
-    return np.insert(ids, ends, end_id), n + 1
+    ids, n = _tokens(path).texts(raw, at)
+    return np.insert(ids, np.cumsum(n), end_id), n + 1
 
 
 def _segments(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
     names = ["bucket", "segment", "first_start", "n_ids", "doc_ids", "n_tokens", "ranks", "control", "data"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, segment, start = None, 0, 0
+        bucket, segment, start, waiting = TaskContext.get().partitionId(), 0, 0, 0
         held: list[tuple[np.ndarray, np.ndarray, list]] = []
 
         def close() -> Iterator[pa.RecordBatch]:
-            nonlocal segment, start, held
+            nonlocal segment, start, waiting, held
             if held:
                 ids, n, docs = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), [d for h in held for d in h[2]]
                 cuts = np.concatenate([[0], np.cumsum(n)])
@@ -179,27 +234,17 @@ def _segments(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], It
                     listed, places = ranked(ids[cuts[lo] : cuts[hi]])
                     control, data = pack(places)
                     row = [[bucket], [segment], [start], [len(places)], [docs[lo:hi]], [n[lo:hi].tolist()], [listed.tobytes()], [control], [data]]
-                    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], names)
                     start, segment, lo = start + len(places), segment + 1, hi
-                held = []
+                held, waiting = [], 0
 
-        waiting = 0
         for batch in batches:
-            buckets = np.asarray(batch.column("bucket"))
-            cuts = [0, *(np.flatnonzero(np.diff(buckets)) + 1).tolist(), batch.num_rows]
-            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-                if bucket != buckets[x]:
+            for lo, hi, raw, at in text_slices(batch, limit=2 * SLICE_BYTES):
+                ids, n = encode_texts(path, end_id, raw, at)
+                held.append((ids, n, batch.column("doc_id").slice(lo, hi - lo).to_pylist()))
+                waiting += len(ids)
+                if waiting >= SEGMENT_IDS:
                     yield from close()
-                    bucket, segment, start, waiting = int(buckets[x]), 0, 0, 0
-                for lo in range(x, y, 256):
-                    part = batch.slice(lo, min(256, y - lo))
-                    ids, n = encode_texts(path, end_id, *texts_of(part.column("text")))
-                    held.append((ids, n, part.column("doc_id").to_pylist()))
-                    waiting += len(ids)
-                    if waiting >= SEGMENT_IDS:
-                        yield from close()
-                        waiting = 0
         yield from close()
 
     return run
@@ -210,12 +255,10 @@ SCHEMA = "bucket int, segment int, first_start long, n_ids long, doc_ids array<l
 
 def write_tokens(documents: DataFrame, tokenizer_path: str, out: str, end_id: int = 2) -> str:
     """Write the ids of all documents below `out`, a folder that all executors share; returns `out`."""
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    bounds = order_bounds(docs, "doc_id", n_buckets(docs.sparkSession))
-    docs = docs.withColumn("bucket", bucket_of(F.col("doc_id"), bounds)).withColumn("tie", F.xxhash64("text"))
-    # a bucket lies whole in one partition, in the order of the ids; a file holds one or more buckets, ascending
-    parts = min(len(bounds) + 1, max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    dealt = docs.repartition(parts, "bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "tie").select("bucket", "doc_id", "text")
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
+    # a bucket is a range, lies whole in one partition and is one file; the range bounds are sampled, so no bucket is far above its share
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie").asc()]
+    dealt = docs.repartitionByRange(parts_for(docs), *order).sortWithinPartitions(*order).select("doc_id", "text")
     dealt.mapInArrow(_segments(tokenizer_path, end_id), SCHEMA).write.parquet(out)
     return out
 

@@ -125,7 +125,7 @@ def test_url_shuffle_join_is_the_same(spark, monkeypatch):
 
 def odd_texts(seed=3, n=300):
     rng = random.Random(seed)
-    letters = "  \n\t▁▁abc the ing 日本語是 éüß 🙂 ́<s></s><unk><0x41>ABC.,==--_0123456789\x00\x01"
+    letters = [*"  \n\t▁▁abc the ing 日本語是 éüß 🙂 ́<>/ABC.,==--_0123456789'\x00\x01", "<s>", "</s>", "<unk>", "<0x41>", "<|endoftext|>", "'s", "'ll"]  # special strings whole, too
     texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(0, 120))) for _ in range(n)]
     return [*texts, "", " ", "\n\n", "a" * 3000, "ab" * 2000, "日本" * 900, " " * 900, "=" * 2000, "the" * 900]
 
@@ -145,13 +145,53 @@ def test_token_counts_equal_the_library(spark, library):
     assert rows_of(got, "doc_id", "n_bytes", "n_tokens", "over_limit") == sorted(want, key=repr)
 
 
-def test_chunk_maps_compose(library):
-    model, _ = token_counts._memory(registry.vocabulary("piece_bpe_32k.model"))
-    machine = token_counts.Transducer(model)
-    text = "▁" + "internationalisation" * 200
-    for size in (1, 3, 64, 999):
-        maps = [token_counts.ChunkMap(machine, text[i : i + size]) for i in range(0, len(text), size)]
-        assert token_counts.compose(maps)(0) == machine.run(text)
+def test_prefix_scan_of_chunk_maps(library):
+    _, machine, _ = token_counts._memory(registry.vocabulary("piece_bpe_32k.model"))
+    rng = random.Random(8)
+    for text in ("▁" + "internationalisation" * 60, "".join(rng.choice("abst") for _ in range(900)), "日本語です" * 90):
+        for size in (1, 3, 64, 999):
+            parts = [text[i : i + size] for i in range(0, len(text), size)]
+            scanned = token_counts.prefix_scan(machine.chunk_maps(parts))
+            state = total = 0
+            for part, m in zip(parts, scanned, strict=True):  # against reading the chunks one after the other
+                state, n = machine.run(part, state)
+                total += n
+                assert m[0] == (state, total)
+
+
+def test_segments_hold_together_what_a_piece_can_span(library):
+    from cladespark.llm import piece_model, segments
+
+    path = registry.vocabulary("piece_bpe_32k.model")
+    texts = odd_texts(9, 200)
+    data, at, counts = segments.segments(path).of(texts)
+    model, k = piece_model.load(path), 0
+    pairs = {(a, b) for p in model.ids for a, b in zip(p[:-1], p[1:])}
+    for t, n in zip(texts, counts.tolist(), strict=True):
+        parts = [data[x:y].decode().replace(" ", "▁") for x, y in zip(at[k : k + n], at[k + 1 : k + n + 1])]
+        k += n
+        assert "".join(parts) == ("▁" + t.replace(" ", "▁") if t else "")
+        assert not {(a[-1], b[0]) for a, b in zip(parts[:-1], parts[1:])} & pairs
+
+
+def test_memory_is_bounded_and_skips_long_keys():
+    from cladespark.llm.wordcache import LONG, Memory, distinct
+
+    asked = []
+
+    def encode(keys):
+        asked.extend(keys)
+        return np.array([x for k in keys for x in k[:3]], np.int32), np.array([min(3, len(k)) for k in keys])
+
+    memory = Memory(encode, most=10, most_bytes=1000)
+    rng = random.Random(1)
+    for _ in range(30):
+        words = [bytes(rng.choice(b"abc") for _ in range(rng.choice([0, 1, 2, 4, LONG + 1]))) for _ in range(40)]
+        keys, which = distinct(b"".join(words), np.cumsum([0, *map(len, words)]))
+        assert [keys[i] for i in which] == words
+        got, sizes = memory.joined(keys, which)
+        assert got.tolist() == [x for w in words for x in w[:3]] and sizes.tolist() == [min(3, len(w)) for w in words]
+        assert all(len(k) <= LONG for k in memory.index) and memory.held < 1000 + 40 * (LONG + 12)
 
 
 def test_encoding_equals_the_library_and_comes_back(spark, library):

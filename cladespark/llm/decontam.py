@@ -1,76 +1,108 @@
 """Benchmark decontamination by templates (DataFrame and SQL functions only).
 
-Texts become templates: words lower-cased without punctuation; numbers, names (capitalised words inside a sentence) and
-units after a number become typed placeholders, with their values kept aside. Windows of template words are hashed:
-every window of each benchmark item, every stride-th of each document, so any shared run of WINDOW + stride - 1 words
-meets (the pipeline takes every window). Where windows join, the slots are compared: within one alignment of a document with an item every value of the
-item must stand for one value of the document, whichever it is. So a question whose numbers or names were exchanged is
-caught, and a chance likeness of templates isn't. A document leaks an item if consistent windows cover COVERED of it.
-
-The item side is small; it is broadcast while it has at most BROADCAST_WINDOWS windows, and joined by a shuffle beyond.
-No document text is shuffled.
-
-Defined results: null texts have no words; items of fewer than WINDOW words can't be recognised unless `short`; rows that share an id
-are judged together, and null ids as one; repeated items are reported under each id; U+0001 to U+0003 in a text act as
-the marks of a name, a number or a unit; extra columns are ignored.
+Texts become templates: words lower-cased without punctuation; numbers (with their decimal and thousands marks), names (capitalised
+words inside a sentence) and units after a number become typed placeholders, with their values kept aside. Every window of
+WINDOW template words is hashed, in items and in documents; an item of fewer words is one window of its own length. A window with
+fewer than LITERAL literal words says too little as a template, so its values are hashed with it. Where windows join, they are
+compared word by word, and then the slots: within one alignment of a document with an item every value of the item must stand
+for one value of the document, whichever it is. So a question whose numbers or names were exchanged is caught, and a chance
+likeness of templates isn't. A document leaks an item if consistent windows cover COVERED of it.
+
+No document text is shuffled: the distinct window hashes of the items (12 bytes each) are broadcast, in blocks of BLOCK, and
+only document windows that meet one go on. Those are joined with the items' windows by a shuffle that may be split where
+a window is common; its result has a row for each item that shares a window with a document.
+
+Defined results: null texts have no words; an empty table on either side gives no rows; texts are read whole, however long; items
+of fewer than LEAST words are phrases of ordinary text and never reported; rows that share an id are judged together, and null ids
+as one; repeated items are reported under each id; U+0001 in a text acts as the mark of a name; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import keep
 
-WINDOW, STRIDE, COVERED, BROADCAST_WINDOWS = 8, 4, 0.5, 1_000_000
+WINDOW, LITERAL, LEAST, COVERED = 8, 2, 3, 0.5
+#: Window hashes that one broadcast holds; more are taken in blocks, each a pass over the documents.
+BLOCK = 4_000_000
 
 #: Units that become placeholders after a number.
 UNITS = "mm cm km m mg kg g ml l s ms min h hours hour minutes minute seconds second days day weeks week months month years year meters meter metres metre miles mile feet foot inches inch pounds pound grams gram litres litre liters liter dollars dollar euros euro cents cent percent degrees degree".split()
 
-NUMBER = r"(^|[^\p{L}\p{Nd}])([0-9]+)"
-UNIT = r"(\x02[0-9]+) ?(" + "|".join(sorted(UNITS, key=lambda u: (-len(u), u))) + r")([^\p{L}\p{Nd}]|$)"
 NAME = r"(?<=[\p{Ll}\p{Nd},;] )(\p{Lu}\p{Ll}+)"
-APART = r"[^\p{L}\p{Nd}\x01\x02\x03]+"
+TOKEN = r"[0-9]++(?:[.,][0-9]++)*+|\x01?[\p{L}\p{Nd}]++"
 
 
 def templates(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, words, slots): words of the template, and for each the value that its placeholder stands for (else empty)."""
+    """(key, raw, words): the words of a text, and what each is in the template (U+0001 a name, U+0002 a number, U+0003 a unit)."""
     marked = F.lower(F.regexp_replace(F.col(text).cast("string"), NAME, "\u0001$1"))
-    marked = F.regexp_replace(F.regexp_replace(marked, NUMBER, "$1\u0002$2"), UNIT, "$1 \u0003$2$3")
-    raw = F.array_remove(F.split(marked, APART), "")
     # a generator over one element keeps its input from being computed anew in each lambda below
-    rows = rows.select(key, F.explode(F.array(raw)).alias("raw"))
-    words = F.transform("raw", lambda x: F.when(x < "\u0004", F.substring(x, 1, 1)).otherwise(x))
-    slots = F.when(F.exists("raw", lambda x: x < "\u0004"), F.transform("raw", lambda x: F.when(x < "\u0004", x).otherwise("")))
-    return rows.select(key, F.explode(F.array(F.struct(words.alias("words"), slots.alias("slots")))).alias("t")).select(key, "t.words", "t.slots")
-
-
-def windows(rows: DataFrame, key: str, stride: int, width: int = WINDOW) -> DataFrame:
-    """(key, h, pos, slots) of every stride-th window; slots are joined by `|`, null where the whole text has none."""
-    one = F.expr(f"""transform(sequence(0, size(words) - {width}, {stride}), i -> struct(
-        xxhash64(slice(words, i + 1, {width})) as h, i as pos, array_join(slice(slots, i + 1, {width}), '|') as slots))""")
-    return rows.where(f"size(words) >= {width}").select(key, F.explode(one).alias("w")).select(key, "w.*")
-
-
-def leaks(documents: DataFrame, benchmark: DataFrame, stride: int = STRIDE, short: bool = False) -> DataFrame:
-    """(doc_id, item_id, n_windows, covered_words, item_words, n_changed) of each document with an item it leaks.
-
-    short: an item of fewer than WINDOW words is one window of its own length, if any of its words is literal."""
-    docs = templates(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id")
-    items = keep(templates(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"), "item_id"))
-    literal = items.where(f"size(words) < {WINDOW} and exists(words, w -> w >= '\u0004')")
-    widths = [WINDOW, *(sorted(r.n for r in literal.select(F.size("words").alias("n")).distinct().collect()) if short else [])]
-    met = None
+    rows = rows.select(key, F.explode(F.array(F.regexp_extract_all(marked, F.lit(TOKEN), F.lit(0)))).alias("raw"))
+    number = lambda x: (x >= "0") & (x < ":")  # noqa: E731  its first character is a digit
+    unit = lambda x, i: (i > 0) & x.isin(UNITS) & number(F.get("raw", i - 1))
+    words = F.transform("raw", lambda x, i: F.when(number(x), "\u0002").when(x < "\u0002", "\u0001").when(unit(x, i), "\u0003").otherwise(x))
+    return rows.select(key, "raw", F.explode(F.array(words)).alias("words"))
+
+
+def _hashes(width: int) -> str:
+    """The hashes of all windows of a width, from the words' own hashes."""
+    few = f"size(filter(slice(words, i + 1, {width}), w -> w >= '')) < {LITERAL}"
+    plain = f"xxhash64({width}, slice(hashed, i + 1, {width}))"
+    mixed = f"if({few}, xxhash64(-{width}, slice(raw, i + 1, {width})), {plain})"
+    every = f"transform(sequence(0, size(words) - {width}), i -> {{}})"
+    # below so many placeholders no window has few literal words
+    return f"if(size(words) < {width}, array(), if(placeholders < {width - LITERAL + 1}, {every.format(plain)}, {every.format(mixed)}))"
+
+
+def windows(rows: DataFrame, key: str, widths: Sequence[int]) -> DataFrame:
+    """(key, raw, words, i, h) of every window of all widths; the windows of a width follow those of the widths before it."""
+    held = rows.select(key, "raw", "words", F.expr("size(filter(words, w -> w < '\u0004'))").alias("placeholders"), F.explode(F.array(F.transform("words", lambda w: F.xxhash64(w)))).alias("hashed"))
+    return held.select(key, "raw", "words", F.posexplode(F.expr(f"concat({', '.join(map(_hashes, widths))})")).alias("i", "h"))
+
+
+def _of_items(benchmark: DataFrame) -> tuple[DataFrame, DataFrame, list[int]]:
+    """The items' words, their windows (item_id, item_pos, width, h, its words and values), and the widths that occur."""
+    items = keep(templates(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"), "item_id").where(f"size(words) >= {LEAST}"))
+    widths = sorted({r.n for r in items.select(F.least(F.size("words"), F.lit(WINDOW)).alias("n")).distinct().collect()}, reverse=True)  # at most WINDOW numbers
+    out = None
     for width in widths:
-        of = items if width == WINDOW else literal.where(F.size("words") == width)
-        side = keep(windows(of, "item_id", 1, width).select("item_id", "h", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots")))
-        one = windows(docs, "doc_id", stride if width == WINDOW else 1, width).join(F.broadcast(side) if side.count() <= BROADCAST_WINDOWS else side, "h")
-        met = one if met is None else met.union(one)
-    met = keep(met.select("doc_id", "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), "slots", "item_slots").distinct())
+        of = items.where(F.size("words") >= WINDOW if width == WINDOW else F.size("words") == width)
+        one = windows(of, "item_id", [width]).select("item_id", F.col("i").alias("item_pos"), F.lit(width).alias("width"), "h", F.expr(f"slice(words, i + 1, {width})").alias("item_words"), F.expr(f"slice(raw, i + 1, {width})").alias("item_raw"))
+        out = one if out is None else out.union(one)
+    return items, (None if out is None else keep(out)), widths
+
+
+def _met(docs: DataFrame, side: DataFrame, widths: Sequence[int]) -> DataFrame:
+    """(doc_id, h, pos, words, raw) of every document window whose hash an item has."""
+    wanted = keep(side.select("h", "width").distinct())
+    blocks = max(1, -(-wanted.count() // BLOCK))
+    before = F.expr("case width " + " ".join(f"when {w} then {' + '.join(['0', *(f'greatest(0, size(words) - {x - 1})' for x in widths[:k])])}" for k, w in enumerate(widths)) + " end")
+    out = None
+    for block in range(blocks):
+        some = wanted if blocks == 1 else wanted.where(F.pmod(F.xxhash64("h"), F.lit(blocks)) == block)
+        one = windows(docs, "doc_id", widths).join(F.broadcast(some), "h").withColumn("pos", F.col("i") - before).where("pos >= 0 and pos + width <= size(words)")
+        one = one.select("doc_id", "h", "pos", F.expr("slice(words, pos + 1, width)").alias("words"), F.expr("slice(raw, pos + 1, width)").alias("raw"))
+        out = one if out is None else out.union(one)
+    return keep(out.distinct())
+
+
+def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, item_id, n_windows, covered_words, item_words, n_changed) of each document with an item it leaks."""
+    schema = "doc_id long, item_id long, n_windows long, covered_words long, item_words long, n_changed long"
+    docs = templates(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id")
+    items, side, widths = _of_items(benchmark)
+    if side is None:
+        return documents.sparkSession.createDataFrame([], schema)
+    fits = _met(docs, side, widths).join(side, "h").where(f"words = item_words and (size(filter(words, w -> w >= '\u0004')) >= {LITERAL} or raw = item_raw)")
+    ours = F.expr("filter(transform(item_raw, (x, k) -> struct(words[k] as kind, x as theirs, raw[k] as ours)), p -> p.kind < '\u0004')")
+    met = keep(fits.select("doc_id", "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), ours.alias("slots")).distinct())
     same = ["doc_id", "item_id", "shift"]
-    pair = F.expr("explode(arrays_zip(split(item_slots, '[|]', -1), split(slots, '[|]', -1)))")
-    pairs = met.where("item_slots is not null and slots is not null").select(*same, pair.alias("p")).select(*same, F.col("p.0").alias("theirs"), F.col("p.1").alias("ours")).where("theirs <> ''").distinct()
-    values = pairs.groupBy(*same, "theirs").agg(F.count("*").alias("n"), F.max(F.expr("if(theirs <> ours, 1, 0)")).alias("changed"))
+    pairs = met.where("size(slots) > 0").select(*same, F.explode("slots").alias("p")).select(*same, "p.*").distinct()
+    values = pairs.groupBy(*same, "kind", "theirs").agg(F.count("*").alias("n"), F.max(F.expr("if(theirs <> ours, 1, 0)")).alias("changed"))
     slots = values.groupBy(*same).agg(F.max("n").alias("most"), F.sum("changed").alias("changed"))
     slots = slots.select(*(F.col(c).alias(f"s_{c}") for c in same), "most", "changed")
     on = [F.col(c).eqNullSafe(F.col(f"s_{c}")) for c in same]

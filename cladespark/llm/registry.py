@@ -98,31 +98,40 @@ select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from m w
 """
 
 
+#: The units of the SQL, stated here anew.
+_UNITS = "mm cm km m mg kg g ml l s ms min h hours hour minutes minute seconds second days day weeks week months month years year meters meter metres metre miles mile feet foot inches inch pounds pound grams gram litres litre liters liter dollars dollar euros euro cents cent percent degrees degree".split()
+
+
 def _template_sql(name: str, key: str) -> str:
-    """The template words and slots of a table, by the same steps as the operator."""
+    """(key, words, raw): a text's words by one expression each, and their types by list comparison."""
     names = r"replace(regexp_replace(regexp_replace(text, '([\p{Ll}\p{Nd},;] )', '\1' || chr(4), 'g'), '\x04(\p{Lu}\p{Ll}+)', chr(1) || '\1', 'g'), chr(4), '')"
-    number = f"regexp_replace(lower({names}), '{decontam.NUMBER}', '\\1' || chr(2) || '\\2', 'g')"
-    unit = f"regexp_replace({number}, '{decontam.UNIT}', '\\1 ' || chr(3) || '\\2\\3', 'g')"
-    raw = f"list_filter(string_split_regex({unit}, '{decontam.APART}'), lambda x: x <> '')"
-    return f"select {key}, list_transform(raw, lambda x: case when ord(x) < 4 then x[1] else x end) as words, list_transform(raw, lambda x: case when ord(x) < 4 then x else '' end) as slots from (select {key}, {raw} as raw from {name} where text is not null)"
+    raw = rf"regexp_extract_all(lower({names}), '[0-9]+(?:[.,][0-9]+)*|\x01?[\p{{L}}\p{{Nd}}]+')"
+    digit = "ord({}) between 48 and 57"
+    units = ", ".join(f"'{u}'" for u in _UNITS)
+    kind = f"case when {digit.format('raw[k]')} then chr(2) when raw[k][1] = chr(1) then chr(1) when k > 1 and raw[k] in ({units}) and {digit.format('raw[k - 1]')} then chr(3) else raw[k] end"
+    return f"select {key}, raw, list_transform(range(1, len(raw) + 1), lambda k: {kind}) as words from (select {key}, {raw} as raw from {name} where text is not null)"
+
 
+_WIDTH = "least(8, len(words))"
+_KEY = f"case when len(list_filter(words[pos + 1:pos + n], lambda w: ord(w) > 3)) < 2 then chr(5) || array_to_string(raw[pos + 1:pos + n], ' ') else array_to_string(words[pos + 1:pos + n], ' ') end"
 
 SQL_OP10 = f"""
-with dt as ({_template_sql("documents", "doc_id")}), it as ({_template_sql("benchmark", "item_id")}),
-dw as (select doc_id, unnest(range(0, len(words) - 7, 4)) as pos, words, slots from dt),
-d as (select doc_id, pos, array_to_string(words[pos + 1:pos + 8], ' ') as win, slots[pos + 1:pos + 8] as slots from dw),
-iw as (select item_id, unnest(range(0, len(words) - 7)) as pos, words, slots from it),
-i as (select item_id, pos, array_to_string(words[pos + 1:pos + 8], ' ') as win, slots[pos + 1:pos + 8] as slots from iw),
-met as (select distinct d.doc_id, i.item_id, i.pos as item_pos, d.pos - i.pos as shift, d.slots as ours, i.slots as theirs from d join i using (win)),
-pairs as (select distinct doc_id, item_id, shift, t.a as theirs, t.b as ours
-  from (select doc_id, item_id, shift, unnest(list_transform(range(1, 9), lambda k: {{'a': theirs[k], 'b': ours[k]}})) as t from met) where t.a <> ''),
-vals as (select doc_id, item_id, shift, theirs, count(*) as n, max(case when theirs <> ours then 1 else 0 end) as changed from pairs group by all),
+with dt as ({_template_sql("documents", "doc_id")}), it as (select * from ({_template_sql("benchmark", "item_id")}) where len(words) >= 3),
+iw as (select item_id, {_WIDTH} as n, unnest(range(0, len(words) - {_WIDTH} + 1)) as pos, words, raw from it),
+i as (select item_id, pos, n, {_KEY} as win, words[pos + 1:pos + n] as kinds, raw[pos + 1:pos + n] as vals from iw),
+widths as (select distinct n from i),
+dw as (select doc_id, n, unnest(range(0, len(words) - n + 1)) as pos, words, raw from dt, widths where len(words) >= n),
+d as (select doc_id, pos, n, {_KEY} as win, raw[pos + 1:pos + n] as vals from dw),
+met as (select distinct d.doc_id, i.item_id, i.pos as item_pos, d.pos - i.pos as shift, i.kinds, d.vals as ours, i.vals as theirs from d join i using (win, n)),
+pairs as (select distinct doc_id, item_id, shift, t.k as kind, t.a as theirs, t.b as ours
+  from (select doc_id, item_id, shift, unnest(list_transform(range(1, len(kinds) + 1), lambda k: {{'k': kinds[k], 'a': theirs[k], 'b': ours[k]}})) as t from met) where ord(t.k) <= 3),
+vals as (select doc_id, item_id, shift, kind, theirs, count(*) as n, max(case when theirs <> ours then 1 else 0 end) as changed from pairs group by all),
 sl as (select doc_id, item_id, shift, max(n) as most, sum(changed) as changed from vals group by all),
 fine as (select m.doc_id, m.item_id, m.item_pos, coalesce(sl.changed, 0) as changed from met m left join sl using (doc_id, item_id, shift) where sl.most is null or sl.most = 1),
-cov as (select doc_id, item_id, count(distinct item_pos) as n_windows, max(changed) as n_changed,
-  len(list_distinct(flatten(list(range(item_pos, item_pos + 8))))) as covered from fine group by all)
-select doc_id, item_id, cast(n_windows as bigint) as n_windows, cast(covered as bigint) as covered_words, cast(len(it.words) as bigint) as item_words, cast(n_changed as bigint) as n_changed
-from cov join it using (item_id) where covered >= 0.5 * len(it.words)
+cov as (select f.doc_id, f.item_id, count(distinct item_pos) as n_windows, max(changed) as n_changed,
+  len(list_distinct(flatten(list(range(item_pos, least(item_pos + 8, len(it.words))))))) as covered, any_value(len(it.words)) as size from fine f join it using (item_id) group by all)
+select doc_id, item_id, cast(n_windows as bigint) as n_windows, cast(covered as bigint) as covered_words, cast(size as bigint) as item_words, cast(n_changed as bigint) as n_changed
+from cov where covered >= 0.5 * size
 """
 
 

@@ -27,7 +27,10 @@ PSR_RATES = (0.2, 0.9, 2.2)
 CANDIDATES = [TREE, *(tree.random_tree([str(i) for i in range(1, 8)], s) for s in (3, 11, 19, 27, 35))]
 C = [f"c{i}" for i in range(1, 8)]
 CS = ", ".join(C)
-_DEPTH = splits.depth(CANDIDATES)
+#: Trees and an alignment of more taxa than a number has bits, or than the expression form takes.
+WIDE_TREES = [tree.random_tree([str(i) for i in range(1, 81)], s) for s in (2, 4, 6, 8)]
+WIDE_TAXA = 49
+WIDE_TREE = tree.random_tree([str(i) for i in range(1, WIDE_TAXA + 1)], 5, 0.15)
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -122,10 +125,10 @@ def gap_share(spark: SparkSession, sf: str) -> DataFrame:
     return al.gap_share(columns(spark, sf))
 
 
-@query(f"with {sqlgen.base()} select site from piv where {' and '.join(f'c{i} = 15' for i in (1, 2))}")
+@query(f"with {sqlgen.base()} select site from piv where {' + '.join(f'cast(c{i} = 15 as int)' for i in range(1, 8))} >= 6")
 def undetermined_sites(spark: SparkSession, sf: str) -> DataFrame:
-    """Sites that are undetermined in the first two taxa (no column of this table is so in all)."""
-    return al.undetermined_sites(columns(spark, sf).select("site", "c1", "c2")).select("site")
+    """Sites that are undetermined in all taxa but one, or in all."""
+    return al.undetermined_sites(columns(spark, sf), least=6).select("site")
 
 
 def _frequency_sql() -> str:
@@ -146,7 +149,7 @@ def base_freq(spark: SparkSession, sf: str) -> DataFrame:
 _RAW = (0.0, 0.0004, 0.3, 0.6996)
 
 
-@query(" union all ".join(f"select {i} as state, round({x!r}, 9) as freq" for i, x in enumerate((0.001, 0.001, 0.3 - 0.3 * 0.0016 * 0.9994, 0.6996 - 0.6996 * 0.0016 * 0.9994))))
+@query(" union all ".join(f"select {i} as state, round({x!r}, 9) as freq" for i, x in enumerate((0.001, 0.001, 0.3 * 0.998 / 0.9996, 0.6996 * 0.998 / 0.9996))))
 def freq_smooth(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(float(x) for x in md.smooth_frequencies(_RAW))), "state int, freq double").select("state", F.round("freq", 9).alias("freq"))
 
@@ -160,10 +163,10 @@ def informative_sites(spark: SparkSession, sf: str) -> DataFrame:
     return al.informative(patterns(spark, sf))
 
 
-@query("""with a as (select distinct cast(l_linenumber as varchar) as taxon from lineitem where l_linenumber <= 6), b as (select unnest(['2','3','4','5','6','7','8']) as taxon)
+@query("""with a as (select distinct cast(l_linenumber as varchar) as taxon from lineitem), b as (select unnest(['2','3','4','5','6','7','8']) as taxon)
 select coalesce(a.taxon, b.taxon) as taxon, a.taxon is not null as in_alignment, b.taxon is not null as in_tree from a full join b on a.taxon = b.taxon""")
 def tip_join(spark: SparkSession, sf: str) -> DataFrame:
-    names = lineitem(spark, sf).where("l_linenumber <= 6").select(F.col("l_linenumber").cast("string").alias("taxon"))
+    names = lineitem(spark, sf).select(F.col("l_linenumber").cast("string").alias("taxon"))
     return al.join_tips(names, spark.createDataFrame([(str(i),) for i in range(2, 9)], "taxon string"))
 
 
@@ -254,7 +257,7 @@ def _splits_sql(trees: list[tree.Tree]) -> list[str]:
 
 @query("with recursive " + ",\n".join(_splits_sql(CANDIDATES)) + " select tree_id, split from sp")
 def tree_splits(spark: SparkSession, sf: str) -> DataFrame:
-    return splits.splits(splits.tree_rows(spark, CANDIDATES), _DEPTH)
+    return splits.splits(splits.tree_rows(spark, CANDIDATES)).select("tree_id", F.col("split")[0].alias("split"))
 
 
 @query("with recursive " + ",\n".join(_splits_sql(CANDIDATES)) + """, n as (select tree_id, count(*) as n from sp group by 1),
@@ -262,12 +265,38 @@ c as (select x.tree_id as a, y.tree_id as b, count(*) as c from sp x join sp y o
 select p.tree_id as a, q.tree_id as b, p.n + q.n - 2 * coalesce(c.c, 0) as rf, (p.n + q.n - 2 * coalesce(c.c, 0)) / 8.0::double as rf_norm
 from n p join n q on p.tree_id < q.tree_id left join c on c.a = p.tree_id and c.b = q.tree_id""")
 def rf_distance(spark: SparkSession, sf: str) -> DataFrame:
-    return splits.robinson_foulds(splits.splits(splits.tree_rows(spark, CANDIDATES), _DEPTH), 7)
+    return splits.robinson_foulds(splits.splits(splits.tree_rows(spark, CANDIDATES)), 7)
 
 
 @query("with recursive " + ",\n".join(_splits_sql(CANDIDATES)) + f" select split, count(*) as n, round(count(*) / {len(CANDIDATES)}.0::double, 6) as share from sp group by split")
 def split_support(spark: SparkSession, sf: str) -> DataFrame:
-    return splits.support(splits.splits(splits.tree_rows(spark, CANDIDATES), _DEPTH), len(CANDIDATES)).withColumn("share", F.round("share", 6))
+    return splits.support(splits.splits(splits.tree_rows(spark, CANDIDATES)), len(CANDIDATES)).select(F.col("split")[0].alias("split"), "n", F.round("share", 6).alias("share"))
+
+
+def _wide_splits_sql() -> str:
+    return "with recursive " + ",\n".join([
+        _edge_values(WIDE_TREES),
+        "up(tree_id, nd, tip) as (select tree_id, node, cast(tip as int) from e where tip is not null union all select e.tree_id, e.parent, up.tip from e join up on e.tree_id = up.tree_id and e.node = up.nd where e.parent is not null)",
+        "m as (select u.tree_id, u.nd, list(u.tip order by u.tip) as s from up u join e on e.tree_id = u.tree_id and e.node = u.nd where e.parent is not null group by 1, 2)",
+        "sp as (select distinct tree_id, case when list_contains(s, 1) then list_filter(range(1, 81), lambda x: not list_contains(s, x)) else s end as split from m where len(s) between 2 and 78)",
+    ])
+
+
+@query(_wide_splits_sql() + """, n as (select tree_id, count(*) as n from sp group by 1),
+c as (select x.tree_id as a, y.tree_id as b, count(*) as c from sp x join sp y on x.split = y.split and x.tree_id < y.tree_id group by 1, 2)
+select p.tree_id as a, q.tree_id as b, p.n + q.n - 2 * coalesce(c.c, 0) as rf, (p.n + q.n - 2 * coalesce(c.c, 0)) / 154.0::double as rf_norm
+from n p join n q on p.tree_id < q.tree_id left join c on c.a = p.tree_id and c.b = q.tree_id""")
+def rf_distance_wide(spark: SparkSession, sf: str) -> DataFrame:
+    """Distances of trees with 80 tips, parsed from their texts in tasks."""
+    texts = spark.createDataFrame([(i, t.newick()) for i, t in enumerate(WIDE_TREES)], "tree_id int, newick string")
+    return splits.robinson_foulds(splits.splits(splits.rows_of_text(texts)).withColumn("tree_id", F.col("tree_id").cast("int")), 80)
+
+
+@query(_wide_splits_sql() + " select list_reduce(list_prepend(0::bigint, list_transform(split, lambda x: case when x <= 64 then 0::bigint else 1::bigint << (x - 65) end)), lambda a, b: a | b) as high, len(split) as size, count(*) as n from sp group by split")
+def split_support_wide(spark: SparkSession, sf: str) -> DataFrame:
+    """Splits of trees with 80 tips: the second number of the bitmap, the number of tips, and how many trees have it."""
+    found = splits.support(splits.splits(splits.tree_rows(spark, WIDE_TREES)), len(WIDE_TREES))
+    return found.select(F.col("split")[1].alias("high"), F.expr("cast(bit_count(split[0]) + bit_count(split[1]) as long)").alias("size"), "n")
 
 
 # likelihood ---------------------------------------------------------------------------------------------------
@@ -301,6 +330,23 @@ def site_loglik_by_site(spark: SparkSession, sf: str) -> DataFrame:
     return cols.join(each, C).select("site", F.round("lnl", 6).alias("lnl"))
 
 
+_WIDE_CELL = f"wcell as (select l_orderkey as site, (l_linenumber - 1) * 7 + l_suppkey % 7 + 1 as taxon, min(l_partkey) % 4 as k from lineitem group by 1, 2), wpiv as (select site, " + ", ".join(f"coalesce(max(case when taxon = {i} then 1 << cast(k as int) end), 15) as c{i}" for i in range(1, WIDE_TAXA + 1)) + " from wcell group by site), wpat as (select " + ", ".join(f"c{i}" for i in range(1, WIDE_TAXA + 1)) + ", count(*) as w from wpiv group by all)"
+_WIDE_STEPS, _WIDE_L = sqlgen.site_lnl(WIDE_TREE, GTR4, "wpat", ("w",), "wx")
+
+
+def wide_patterns(spark: SparkSession, sf: str) -> DataFrame:
+    """The line items as an alignment of 49 taxa: the line's number and the supplier's number modulo 7."""
+    rows = al.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("site"), F.expr("cast((l_linenumber - 1) * 7 + l_suppkey % 7 + 1 as int)").alias("taxon")).agg((F.min("l_partkey") % 4).cast("int").alias("k"))
+    return al.compress(al.columns_from_cells(rows.select("site", "taxon", F.expr("shiftleft(1, k)").alias("code")), range(1, WIDE_TAXA + 1)))
+
+
+@query("with " + ",\n".join([_WIDE_CELL, *_WIDE_STEPS]) + f" select round(sum(w * lnl), 3) as lnl, cast(sum(w) as bigint) as sites, count(*) as patterns from {_WIDE_L}")
+def tree_loglik_wide(spark: SparkSession, sf: str) -> DataFrame:
+    """The same entry on a tree whose columns are too many for expressions."""
+    each = lk.site_loglik(wide_patterns(spark, sf), WIDE_TREE, GTR4)
+    return each.agg(F.round(F.sum(F.col("w") * F.col("lnl")), 3).alias("lnl"), F.sum("w").alias("sites"), F.count("*").alias("patterns"))
+
+
 _MIX = md.mixture([md.jc69(), md.f84((0.3, 0.2, 0.25, 0.25), 1.5), md.tn93((0.2, 0.3, 0.3, 0.2), 2.0, 4.0), GTR4], (0.2, 0.6, 1.1, 2.1), (0.1, 0.2, 0.3, 0.4))
 _MIX_STEPS, _MIX_L = sqlgen.site_lnl(TREE, _MIX, "pat", ("w",), "x")
 
@@ -389,22 +435,27 @@ _EDGE = TREE.inner_edges[0]
 
 
 def _derivative_sql() -> str:
-    """d1 and d2 of one edge in closed form: the likelihood at the edge is a sum of a, b and c terms."""
-    u, v = _EDGE
-    parts = []
-    for h, tag in ((-1, "dm"), (0, "d0"), (1, "dp")):
-        t = TREE.with_lengths({_EDGE: TREE.t(u, v) + h * 1e-4})
-        steps, last = sqlgen.site_lnl(t, GTR4, "pat", ("w",), tag)
-        parts.append((steps, last))
-    steps = [s for p in parts for s in p[0]]
-    sums = ", ".join(f"(select sum(w * lnl) from {last}) as x{i}" for i, (_, last) in enumerate(parts))
-    return with_base([*steps, f"z as (select {sums})"], "select round((x2 - x0) / 2e-4, 1) as d1, round((x2 - 2 * x1 + x0) / 1e-8, -2) as d2 from z")
+    steps, last = sqlgen.site_slopes(TREE, GTR4, _EDGE)
+    return with_base(steps, f"select round(sum(w * x1 / x0), 3) as d1, round(sum(w * (x2 / x0 - x1 / x0 * x1 / x0)), 3) as d2 from {last}")
 
 
 @query(_derivative_sql())
 def branch_derivs(spark: SparkSession, sf: str) -> DataFrame:
     d1, d2 = lk.edge_derivatives(patterns(spark, sf), TREE, GTR4)[_EDGE]
-    return spark.createDataFrame([(d1, d2)], "d1 double, d2 double").select(F.round("d1", 1).alias("d1"), F.round("d2", -2).alias("d2"))
+    return spark.createDataFrame([(d1, d2)], "d1 double, d2 double").select(F.round("d1", 3).alias("d1"), F.round("d2", 3).alias("d2"))
+
+
+def _asc_derivative_sql() -> str:
+    steps, last = sqlgen.site_slopes(TREE, GTR4, _EDGE, "ac", ("w", "dummy"))
+    sums = "sum(case when dummy = 0 then w * x1 / x0 end) as d1, sum(case when dummy = 0 then w * (x2 / x0 - x1 / x0 * x1 / x0) end) as d2, sum(w) as n, " + ", ".join(f"sum(case when dummy = 1 then x{i} end) as p{i}" for i in range(3))
+    return with_base([_ASC, *steps, f"z as (select {sums} from {last})"], "select round(d1 + n * p1 / (1 - p0), 3) as d1, round(d2 + n * (p2 / (1 - p0) + pow(p1 / (1 - p0), 2)), 3) as d2 from z")
+
+
+@query(_asc_derivative_sql())
+def asc_derivs(spark: SparkSession, sf: str) -> DataFrame:
+    """Derivatives of the log-likelihood that is corrected for missing constant columns."""
+    d1, d2 = lk.corrected_derivatives(patterns(spark, sf), TREE, GTR4)[_EDGE]
+    return spark.createDataFrame([(d1, d2)], "d1 double, d2 double").select(F.round("d1", 3).alias("d1"), F.round("d2", 3).alias("d2"))
 
 
 _NODE = _EDGE[0]
@@ -452,7 +503,7 @@ def nni_scan(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(rows, "u int, v int, which int, lnl double").withColumn("lnl", F.round("lnl", 3))
 
 
-_SPR = search.spr_moves(TREE, 1, 2)[:24]
+_SPR = search.spr_moves(TREE, 1, 2)
 
 
 @query(_many_sql([m.tree for m in _SPR], JC4, [f"{i} as move" for i in range(len(_SPR))]) + "select move, round(lnl, 3) as lnl from al")
@@ -510,10 +561,10 @@ def _letters(width: str) -> str:
     return f"select site, string_agg(substr('ACGT', cast(k as int) + 1, 1), '' order by taxon) as col from cell where {width} group by site"
 
 
-@query(with_base([f"p as ({_letters('taxon <= 4 and site % 5 <> 0')})", f"r as ({_letters('taxon <= 4')})", "pc as (select col, count(*) as p from p group by 1)", "rc as (select col, count(*) as r from r group by 1)"], "select cast(sum(least(r, coalesce(p, 0))) as bigint) as matched, cast(sum(r) as bigint) as total, round(sum(least(r, coalesce(p, 0))) / sum(r), 6) as score from rc left join pc using (col)"))
+@query(with_base([f"p as ({_letters('site % 5 <> 0')})", f"r as ({_letters('true')})", "pc as (select col, count(*) as p from p group by 1)", "rc as (select col, count(*) as r from r group by 1)"], "select cast(sum(least(r, coalesce(p, 0))) as bigint) as matched, cast(sum(r) as bigint) as total, round(sum(least(r, coalesce(p, 0))) / sum(r), 6) as score from rc left join pc using (col)"))
 def tc_score(spark: SparkSession, sf: str) -> DataFrame:
-    """The columns of the first four taxa against themselves without every fifth column."""
-    cells = al.canonical_cells(lineitem(spark, sf)).where("taxon <= 4")
+    """The columns against themselves without every fifth one."""
+    cells = al.canonical_cells(lineitem(spark, sf))
     return msa.total_column(msa.column_texts(cells.where("site % 5 <> 0")), msa.column_texts(cells))
 
 
@@ -523,7 +574,7 @@ _MOVED = "case when taxon = 3 then site + 1 else site end"
 def _confusion_sql() -> str:
     def pairs(name: str, site: str) -> list[str]:
         return [
-            f"{name}n as (select {site} as site, taxon, row_number() over (partition by taxon order by {site}) as i from cell where taxon <= 3)",
+            f"{name}n as (select {site} as site, taxon, row_number() over (partition by taxon order by {site}) as i from cell)",
             f"{name}p as (select x.taxon as a, y.taxon as b, x.i as i, y.i as j from {name}n x join {name}n y on x.site = y.site and x.taxon < y.taxon)",
         ]
 
@@ -533,8 +584,8 @@ def _confusion_sql() -> str:
 
 @query(_confusion_sql())
 def pair_confusion(spark: SparkSession, sf: str) -> DataFrame:
-    """Residue pairs of three taxa against those after the third one slid by a column."""
-    cells = al.canonical_cells(lineitem(spark, sf)).where("taxon <= 3").select("site", "taxon", "ch")
+    """Residue pairs of all taxa against those after the third one slid by a column."""
+    cells = al.canonical_cells(lineitem(spark, sf)).select("site", "taxon", "ch")
     moved = cells.withColumn("site", F.expr(_MOVED))
     return msa.confusion(msa.residue_pairs(moved), msa.residue_pairs(cells), 1_000_000_000)
 
@@ -646,15 +697,19 @@ def nni_search(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def spr_search(spark: SparkSession, sf: str) -> DataFrame:
     p = patterns(spark, sf).cache()
-    best, lnl, n = search.spr_search(p, CANDIDATES[2], md.jc69(), 3, 2, thorough=1)
+    best, lnl, n = search.spr_search(p, CANDIDATES[2], md.jc69(), 3, thorough=1)
     p.unpersist()
     return spark.createDataFrame([(",".join(map(str, best.canonical())), lnl, n)], "topology string, lnl double, moves int").withColumn("lnl", F.round("lnl", 2))
 
 
-@query()
+_TBR = search.tbr_moves(TREE, 2)
+
+
+@query(_many_sql([m.tree for m in _TBR], JC4, [f"'{','.join(map(str, m.tree.canonical()))}' as topology" for m in _TBR]) + "select topology, round(lnl, 3) as lnl from al")
 def tbr_scan(spark: SparkSession, sf: str) -> DataFrame:
-    moves = search.scored(patterns(spark, sf), search.tbr_moves(TREE, 2), JC4, 10)
-    return spark.createDataFrame([(i + 1, ",".join(map(str, m.tree.canonical())), m.lnl) for i, m in enumerate(moves)], "rank int, topology string, lnl double").withColumn("lnl", F.round("lnl", 3))
+    """All trees that one cut and one new joint within two edges give."""
+    moves = search.scored(patterns(spark, sf), _TBR, JC4)
+    return spark.createDataFrame([(",".join(map(str, m.tree.canonical())), m.lnl) for m in moves], "topology string, lnl double").withColumn("lnl", F.round("lnl", 3))
 
 
 @query()
@@ -662,7 +717,7 @@ def parsimony_tree(spark: SparkSession, sf: str) -> DataFrame:
     """Stepwise addition, then subtree moves until the score stands still."""
     p = patterns(spark, sf)
     start, first = parsimony.stepwise_addition(p, [str(i) for i in range(1, 8)])
-    best, score = parsimony.spr_improve(p, start, 3, 2)
+    best, score = parsimony.spr_improve(p, start)
     return spark.createDataFrame([(first, score, ",".join(map(str, best.canonical())))], "start_score long, score long, topology string")
 
 

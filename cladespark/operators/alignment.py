@@ -60,9 +60,15 @@ def as_arrays(patterns: DataFrame) -> DataFrame:
 def pattern_numbers(columns: DataFrame) -> DataFrame:
     """(site, pattern_id): numbers 1, 2, ... in the order of the patterns.
 
-    Patterns are far fewer than sites and are ranked alone; the sites then join them."""
+    Patterns are far fewer than sites and are ranked alone; the sites then join them. The first columns deal the patterns into
+    ordered groups that are ranked each by itself; one row for each group goes through one task, for the numbers before it."""
     cs = state_columns(columns)
-    ranked = columns.select(*cs).distinct().withColumn("pattern_id", F.row_number().over(Window.orderBy(*cs)))
+    head = cs[: max(1, min(4, len(cs) - 1))]
+    distinct = columns.select(*cs).distinct()
+    before = Window.orderBy(*head).rowsBetween(Window.unboundedPreceding, -1)
+    groups = distinct.groupBy(*head).agg(F.count("*").alias("n")).select(*head, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy(*head).orderBy(*cs))
+    ranked = distinct.withColumn("inside", inside).join(groups, head).select(*cs, (F.col("inside") + F.col("before")).alias("pattern_id"))
     return columns.join(ranked, cs).select("site", "pattern_id")
 
 
@@ -73,8 +79,10 @@ def gap_share(columns: DataFrame, undetermined: int = 15) -> DataFrame:
     return sums.select("cells", F.explode(F.array(*[F.struct(F.lit(int(c[1:])).alias("taxon"), F.col(c).alias("gaps")) for c in cs])).alias("x")).select("x.taxon", "x.gaps", "cells", F.round(F.col("x.gaps") / F.col("cells"), 6).alias("share"))
 
 
-def undetermined_sites(columns: DataFrame, undetermined: int = 15) -> DataFrame:
-    return columns.where(" and ".join(f"{c} = {undetermined}" for c in state_columns(columns)))
+def undetermined_sites(columns: DataFrame, undetermined: int = 15, least: int | None = None) -> DataFrame:
+    """Sites that are undetermined in all taxa, or in at least so many."""
+    cs = state_columns(columns)
+    return columns.where(" + ".join(f"cast({c} = {undetermined} as int)" for c in cs) + f" >= {len(cs) if least is None else least}")
 
 
 def informative(columns: DataFrame, undetermined: int = 15) -> DataFrame:

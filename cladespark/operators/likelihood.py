@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.alphabet import DNA, Alphabet
 from ..plans.model import Model
@@ -88,13 +89,19 @@ def site_likelihood(model: Model, columns: list[list[str]]) -> Column:
     return sum(parts[1:], parts[0])
 
 
+def _wide(tree: Tree, model: Model) -> bool:
+    """Whether the expression form would need too many columns."""
+    return (len(tree.edges) + 1 - len(tree.names)) * len(model.site_rates) * model.states > MOST_COLUMNS
+
+
 def site_loglik(patterns: DataFrame, tree: Tree, model: Model, keep: Sequence[str] = ("w",), alphabet: Alphabet = DNA) -> DataFrame:
-    """patterns with their log-likelihood `lnl`, by column expressions."""
-    inner = len(tree.edges) + 1 - len(tree.names)
-    if inner * len(model.site_rates) * model.states > MOST_COLUMNS:
-        raise ValueError("too many columns for the expression form; use loglik_many")
+    """patterns with their log-likelihood `lnl`: by column expressions, or by the Arrow form for trees of any size."""
+    cs = state_columns(patterns)
+    if _wide(tree, model):
+        kernel = Kernel(tree, model, alphabet)
+        return _by_kernel(patterns, keep, lambda codes: [kernel.lnl(codes)], ["lnl"])
     df, have = node_columns(patterns, tree, model, keep, alphabet=alphabet)
-    return df.select(*state_columns(patterns), *keep, F.log(F.abs(site_likelihood(model, have[tree.root]))).alias("lnl"))
+    return df.select(*cs, *keep, F.log(F.abs(site_likelihood(model, have[tree.root]))).alias("lnl"))
 
 
 def tree_loglik(patterns: DataFrame, tree: Tree, model: Model, by: Sequence[str] = ()) -> DataFrame:
@@ -113,28 +120,42 @@ def corrected_for_invariant(patterns: DataFrame, tree: Tree, model: Model) -> Da
 
 
 def loglik_by_category(patterns: DataFrame, tree: Tree, model: Model, category: str, rates: Sequence[float]) -> DataFrame:
-    """One rate per site: (category, n, lnl), each pattern at the rate of its category column only."""
-    out = None
-    for k, rate in enumerate(rates):
-        one = Model(model.freqs, model.rates, (float(rate),), name=model.name)
-        part = site_loglik(patterns.where(F.col(category) == k), tree, one, ("w", category)).groupBy(category).agg(F.sum("w").alias("n"), F.sum(F.expr("w * lnl")).alias("lnl"))
-        out = part if out is None else out.union(part)
-    return out
+    """One rate per site: (category, n, lnl), each pattern at the rate of its category column only, in one pass."""
+    kernels = [Kernel(tree, Model(model.freqs, model.rates, (float(r),), name=model.name)) for r in rates]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes, at, out = _codes(batch), np.asarray(batch.column(category)), np.zeros(batch.num_rows)
+            for k, kernel in enumerate(kernels):
+                if (at == k).any():
+                    out[at == k] = kernel.lnl(codes[at == k])
+            yield pa.RecordBatch.from_arrays([batch.column(category), batch.column("w"), pa.array(out)], [category, "w", "lnl"])
+
+    rows = as_arrays(patterns).where(F.col(category).between(0, len(rates) - 1)).select("states", F.col(category).cast("int").alias(category), F.col("w").cast("long").alias("w"))
+    each = rows.mapInArrow(run, f"{category} int, w long, lnl double")
+    return each.groupBy(category).agg(F.sum("w").alias("n"), F.sum(F.expr("w * lnl")).alias("lnl"))
 
 
 def ancestral(patterns: DataFrame, tree: Tree, model: Model, node: int, keep: Sequence[str] = ("w",), alphabet: Alphabet = DNA) -> DataFrame:
     """Marginal probabilities p0 ... of the states at an inner node, and the letter (`?` where all are within 1e-6 of equal)."""
+    ps = [F.col(f"p{s}") for s in range(model.states)]
+    if _wide(tree, model):
+        kernel = Kernel(tree, model, alphabet, node)
+        return _with_letters(_by_kernel(patterns, keep, lambda codes: list(kernel.marginal(codes).T), [f"p{s}" for s in range(model.states)]), ps, alphabet)
     df, have = node_columns(patterns, tree, model, keep, root=node, alphabet=alphabet)
     w, cols = model.category_weights, have[node]
     raw = [sum((F.lit(float(w[r] * model.component(r).freqs[s])) * F.col(row[s]) for r, row in enumerate(cols[1:], 1)), F.lit(float(w[0] * model.component(0).freqs[s])) * F.col(cols[0][s])) for s in range(model.states)]
     df = df.select(*state_columns(patterns), *keep, *[x.alias(f"r{s}") for s, x in enumerate(raw)])
     total = sum((F.col(f"r{s}") for s in range(1, model.states)), F.col("r0"))
     df = df.select(*state_columns(patterns), *keep, *[(F.col(f"r{s}") / total).alias(f"p{s}") for s in range(model.states)])
-    ps = [F.col(f"p{s}") for s in range(model.states)]
-    flat = F.greatest(*[F.abs(p - 1 / model.states) for p in ps]) < 1e-6
-    best = F.lit(alphabet.letters[-1])
-    for s in range(model.states - 2, -1, -1):
-        best = F.when(F.col(f"p{s}") >= F.greatest(*ps), alphabet.letters[s]).otherwise(best)
+    return _with_letters(df, ps, alphabet)
+
+
+def _with_letters(df: DataFrame, ps: list[Column], alphabet: Alphabet) -> DataFrame:
+    flat = F.greatest(*[F.abs(p - 1 / len(ps)) for p in ps]) < 1e-6
+    best = F.lit(alphabet.letters[len(ps) - 1])
+    for s in range(len(ps) - 2, -1, -1):
+        best = F.when(ps[s] >= F.greatest(*ps), alphabet.letters[s]).otherwise(best)
     return df.withColumn("ch", F.when(flat, "?").otherwise(best))
 
 
@@ -144,11 +165,12 @@ def ancestral(patterns: DataFrame, tree: Tree, model: Model, node: int, keep: Se
 class Kernel:
     """A tree and a model as a plan over numpy batches."""
 
-    def __init__(self, tree: Tree, model: Model, alphabet: Alphabet = DNA):
+    def __init__(self, tree: Tree, model: Model, alphabet: Alphabet = DNA, root: int | None = None):
         self.tree, self.model, self.masks = tree, model, mask_table(alphabet)
+        self.root = tree.root if root is None else root
         order = sorted(tree.tip, key=lambda x: (len(x), x))
         self.place = {tree.tip[n]: i for i, n in enumerate(order)}
-        self.plan = [(n, p, [k for k in tree.near[n] if k != p]) for n, p in tree.postorder()]
+        self.plan = [(n, p, [k for k in tree.near[n] if k != p]) for n, p in tree.postorder(self.root)]
         self.p = {e: np.stack([model.component(r).p(t, rate) for r, rate in enumerate(model.site_rates)]) for e, t in tree.length.items()}
         self.freqs = np.stack([model.component(r).freqs for r in range(len(model.site_rates))])
         self.w = model.category_weights
@@ -175,7 +197,13 @@ class Kernel:
 
     def lnl(self, codes: np.ndarray) -> np.ndarray:
         have, scale = self.down(codes)
-        return np.log(np.maximum(np.einsum("nri,ri,r->n", have[self.tree.root], self.freqs, self.w), 1e-300)) + scale * math.log(2)
+        return np.log(np.maximum(np.einsum("nri,ri,r->n", have[self.root], self.freqs, self.w), 1e-300)) + scale * math.log(2)
+
+    def marginal(self, codes: np.ndarray) -> np.ndarray:
+        """[row, state] probabilities at the root; the exponents cancel out."""
+        have, _ = self.down(codes)
+        v = np.einsum("nri,ri,r->ni", have[self.root], self.freqs, self.w)
+        return v / v.sum(axis=1, keepdims=True)
 
     def derivatives(self, codes: np.ndarray, weights: np.ndarray) -> dict[tuple[int, int], tuple[float, float]]:
         """For every edge the weighted sums of the first and second derivative of lnl by its length."""
@@ -205,6 +233,23 @@ def _codes(batch: pa.RecordBatch) -> np.ndarray:
     return np.asarray(lists.flatten()).astype(np.int64).reshape(len(lists), -1)
 
 
+def _by_kernel(patterns: DataFrame, keep: Sequence[str], work: Callable[[np.ndarray], list[np.ndarray]], names: list[str]) -> DataFrame:
+    """The state columns and keep of patterns with the columns of numbers that work(codes) gives."""
+    cs = state_columns(patterns)
+    rows = as_arrays(patterns.select(*cs, *keep))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                for name, values in zip(names, work(_codes(batch)), strict=True):
+                    batch = batch.append_column(name, pa.array(np.ascontiguousarray(values, float)))
+                yield batch
+
+    schema = T.StructType([*rows.schema.fields, *(T.StructField(n, T.DoubleType()) for n in names)])
+    out = rows.mapInArrow(run, schema)
+    return out.select(*[F.col("states")[i].cast("int").alias(c) for i, c in enumerate(cs)], *keep, *names)
+
+
 def arrow_site_loglik(patterns: DataFrame, tree: Tree, model: Model, alphabet: Alphabet = DNA) -> DataFrame:
     """(states, w, lnl) by the Arrow form."""
     kernel = Kernel(tree, model, alphabet)
@@ -254,6 +299,23 @@ def edge_derivatives(patterns: DataFrame, tree: Tree, model: Model, alphabet: Al
     return {edges[k]: (v[0], v[1]) for k, v in _summed(patterns, work, 2)}
 
 
+def corrected_derivatives(patterns: DataFrame, tree: Tree, model: Model, alphabet: Alphabet = DNA) -> dict[tuple[int, int], tuple[float, float]]:
+    """edge_derivatives of the log-likelihood conditioned on there being no constant column (see corrected_for_invariant).
+
+    With P the probability of a constant column over W sites, -W log(1 - P) adds W P' / (1 - P) and W (P'' / (1 - P) + (P' / (1 - P))^2);
+    P and its derivatives come from one column for each state, on the driver."""
+    kernel, sites = Kernel(tree, model, alphabet), float(patterns.agg(F.sum("w")).first()[0] or 0)
+    dummies = np.array([[1 << s] * len(tree.names) for s in range(model.states)])
+    p = np.exp(kernel.lnl(dummies))
+    each = [kernel.derivatives(dummies[s : s + 1], np.ones(1)) for s in range(model.states)]
+    left, out = 1 - p.sum(), {}
+    for edge, (d1, d2) in edge_derivatives(patterns, tree, model, alphabet).items():
+        p1 = sum(p[s] * each[s][edge][0] for s in range(model.states)) / left
+        p2 = sum(p[s] * (each[s][edge][1] + each[s][edge][0] ** 2) for s in range(model.states)) / left
+        out[edge] = float(d1 + sites * p1), float(d2 + sites * (p2 + p1 * p1))
+    return out
+
+
 def best_rates(patterns: DataFrame, tree: Tree, model: Model, grid: Sequence[float], alphabet: Alphabet = DNA) -> DataFrame:
     """(states, w, rate, lnl): the best rate of each pattern out of a grid; the smallest wins ties."""
     kernels = [Kernel(tree, Model(model.freqs, model.rates, (float(r),)), alphabet) for r in sorted(grid)]

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .alignment import state_columns
 
+#: Sites that one task numbers at a time.
+RUN = 1 << 16
+
 
 def pair_counts(cells: DataFrame, gap: str = "-") -> DataFrame:
     """(site, same, pairs): equal and all letter pairs of each column; counts per letter suffice, no self join."""
@@ -35,8 +38,14 @@ def total_column(predicted: DataFrame, reference: DataFrame) -> DataFrame:
 
 
 def residue_pairs(cells: DataFrame, gap: str = "-") -> DataFrame:
-    """(a, b, i, j): residue i of taxon a stands over residue j of taxon b."""
-    numbered = cells.where(F.col("ch") != gap).withColumn("i", F.row_number().over(Window.partitionBy("taxon").orderBy("site")))
+    """(a, b, i, j): residue i of taxon a stands over residue j of taxon b.
+
+    Residues are numbered in runs of RUN sites, each by itself, plus the residues in the taxon's earlier runs (one row a run)."""
+    held = cells.where(F.col("ch") != gap).select("taxon", "site", F.floor(F.col("site") / RUN).alias("run"))
+    earlier = Window.partitionBy("taxon").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = held.groupBy("taxon", "run").agg(F.count("*").alias("n")).select("taxon", "run", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("taxon", "run").orderBy("site"))
+    numbered = held.withColumn("inside", inside).join(runs, ["taxon", "run"]).select("taxon", "site", (F.col("inside") + F.col("before")).alias("i"))
     per = numbered.groupBy("site").agg(F.array_sort(F.collect_list(F.struct("taxon", "i"))).alias("m"))  # one entry for each taxon
     return per.select(F.expr("explode(flatten(transform(m, (x, k) -> transform(slice(m, k + 2, size(m)), y -> struct(x.taxon as a, y.taxon as b, x.i as i, y.i as j)))))").alias("p")).select("p.*")
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import replace
+from itertools import count
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -21,11 +22,12 @@ from .likelihood import edge_derivatives, loglik_many
 T_MIN, T_MAX = -math.log(Z_MAX), -math.log(Z_MIN)
 
 
-def newton_lengths(patterns: DataFrame, tree: Tree, model: Model, epsilon: float = 1e-3, most_steps: int = 32, edges: Sequence[tuple[int, int]] | None = None) -> tuple[Tree, float]:
-    """All (or the given) branch lengths by Newton steps on every edge at once, shortened together until lnl rises."""
+def newton_lengths(patterns: DataFrame, tree: Tree, model: Model, epsilon: float = 1e-3, most_steps: int | None = None, edges: Sequence[tuple[int, int]] | None = None) -> tuple[Tree, float]:
+    """All (or the given) branch lengths by Newton steps on every edge at once, shortened together until lnl rises;
+    until a step gains less than epsilon (or so many steps)."""
     lnl = loglik_many(patterns, [(tree, model)])[0]
     chosen = {(min(e), max(e)) for e in edges} if edges is not None else set(tree.edges)
-    for _ in range(most_steps):
+    for _ in count() if most_steps is None else range(most_steps):
         step = {}
         for e, (d1, d2) in edge_derivatives(patterns, tree, model).items():
             if e in chosen:
@@ -134,10 +136,10 @@ def optimise_mixture(patterns: DataFrame, tree: Tree, model: Model, sweeps: int
     return model, lnl
 
 
-def optimise_model(patterns: DataFrame, tree: Tree, model: Model, epsilon: float = 0.1, most_rounds: int = 8, symmetry: str | None = None) -> tuple[Tree, Model, float]:
-    """Rates, alpha and branch lengths in turn until lnl gains less than epsilon."""
+def optimise_model(patterns: DataFrame, tree: Tree, model: Model, epsilon: float = 0.1, most_rounds: int | None = None, symmetry: str | None = None) -> tuple[Tree, Model, float]:
+    """Rates, alpha and branch lengths in turn until lnl gains less than epsilon (or so many rounds)."""
     lnl = -math.inf
-    for _ in range(most_rounds):
+    for _ in count() if most_rounds is None else range(most_rounds):
         model, _ = optimise_rates(patterns, tree, model, symmetry, 1)
         if model.alpha is not None:
             model, _ = optimise_alpha(patterns, tree, model, len(model.site_rates))

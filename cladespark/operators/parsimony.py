@@ -1,14 +1,21 @@
-"""Fitch parsimony by bit operations on the state columns (built-in functions only)."""
+"""Fitch parsimony by bit operations: one tree by column expressions, many trees by numpy batches."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.tree import Tree, insert_tip, renumber, star
 from .alignment import state_columns
+from .likelihood import _summed
+
+
+#: Trees per job.
+BATCH = 512
 
 
 def _order(names: Sequence[str]) -> list[str]:
@@ -42,14 +49,29 @@ def score(patterns: DataFrame, tree: Tree) -> DataFrame:
     return fitch_fold(patterns, tree).agg(F.sum(F.col("w") * F.col("changes")).cast("long").alias("score"))
 
 
+def _changes(codes: np.ndarray, tree: Tree, place: dict[str, int]) -> np.ndarray:
+    """The least number of changes of each row of codes."""
+    have, total = {}, np.zeros(len(codes), np.int64)
+    for node, parent in tree.postorder():
+        if tree.is_tip(node):
+            have[node] = codes[:, place[tree.name[node]]]
+            continue
+        first, *rest = [have.pop(n) for n in tree.near[node] if n != parent]
+        for other in rest:
+            both = first & other
+            total += both == 0
+            first = np.where(both == 0, first | other, both)
+        have[node] = first
+    return total
+
+
 def scores(patterns: DataFrame, trees: Sequence[Tree], place: dict[str, str] | None = None) -> list[int]:
-    """The scores of many trees in one job, a branch of the plan for each tree over the same (cached) patterns."""
-    frames = [fitch_fold(patterns, t, ("w",), place).agg(F.sum(F.col("w") * F.col("changes")).alias("s")).select(F.lit(i).alias("i"), "s") for i, t in enumerate(trees)]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.union(f)
-    got = {r.i: int(r.s or 0) for r in out.collect()}
-    return [got[i] for i in range(len(trees))]
+    """The scores of many trees in one pass over the patterns; a row for each task and tree is summed."""
+    cs = state_columns(patterns)
+    place = place or dict(zip(_order(list(trees[0].tip)), cs, strict=False))
+    at = {name: cs.index(c) for name, c in place.items()}
+    got = dict(_summed(patterns, lambda codes, w: [(i, [float(w @ _changes(codes, t, at))]) for i, t in enumerate(trees)], 1))
+    return [round(got.get(i, [0.0])[0]) for i in range(len(trees))]
 
 
 def informative_patterns(patterns: DataFrame, undetermined: int = 15) -> DataFrame:
@@ -74,18 +96,18 @@ def stepwise_addition(patterns: DataFrame, names: Sequence[str], order: Sequence
     return renumber(tree), best
 
 
-def spr_improve(patterns: DataFrame, tree: Tree, radius: int = 20, most_rounds: int = 20) -> tuple[Tree, int]:
-    """Subtree moves while the score falls: the best move of each round, ties by the order of moves."""
+def spr_improve(patterns: DataFrame, tree: Tree, radius: int = 20, most_rounds: int | None = None) -> tuple[Tree, int]:
+    """Subtree moves while the score falls (or so many rounds): the best move of each round, ties by the order of moves."""
     patterns = informative_patterns(patterns).cache()
     best = scores(patterns, [tree])[0]
-    for _ in range(most_rounds):
+    for _ in count() if most_rounds is None else range(most_rounds):
         moves = {}
         for node, at in tree.prunable():
             for edge in tree.regraft_targets(node, at, 1, radius):
                 moved = tree.prune_regraft(node, at, edge)
                 moves.setdefault(moved.canonical(), moved)
         tried = list(moves.values())
-        got = [s for i in range(0, len(tried), 48) for s in scores(patterns, tried[i : i + 48])]
+        got = [s for i in range(0, len(tried), BATCH) for s in scores(patterns, tried[i : i + BATCH])]
         if not got or min(got) >= best:
             break
         best = min(got)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from itertools import count
 
 from pyspark.sql import DataFrame
 
@@ -123,10 +124,11 @@ def nni_sweep(patterns: DataFrame, tree: Tree, model: Model, lnl: float) -> tupl
     return tree, lnl, 0
 
 
-def nni_search(patterns: DataFrame, tree: Tree, model: Model, most_rounds: int = 20) -> tuple[Tree, float, int]:
+def nni_search(patterns: DataFrame, tree: Tree, model: Model, most_rounds: int | None = None) -> tuple[Tree, float, int]:
+    """Sweeps until no swap gains (or so many)."""
     tree, lnl = newton_lengths(patterns, tree, model, 0.1)
     applied = 0
-    for _ in range(most_rounds):
+    for _ in count() if most_rounds is None else range(most_rounds):
         new, got, n = nni_sweep(patterns, tree, model, lnl)
         if not n:
             break
@@ -135,11 +137,12 @@ def nni_search(patterns: DataFrame, tree: Tree, model: Model, most_rounds: int =
     return tree, lnl, applied
 
 
-def spr_search(patterns: DataFrame, tree: Tree, model: Model, radius: int = 5, most_rounds: int = 10, epsilon: float = 0.1, thorough: int = 3) -> tuple[Tree, float, int]:
-    """Each round scores all moves in the radius fast, refits the branch lengths of the best few, and takes the best."""
+def spr_search(patterns: DataFrame, tree: Tree, model: Model, radius: int = 5, most_rounds: int | None = None, epsilon: float = 0.1, thorough: int = 3) -> tuple[Tree, float, int]:
+    """Each round scores all moves in the radius fast, refits the branch lengths of the best few, and takes the best, until none gains epsilon
+    (or so many rounds)."""
     tree, lnl = newton_lengths(patterns, tree, model, epsilon)
     applied = 0
-    for _ in range(most_rounds):
+    for _ in count() if most_rounds is None else range(most_rounds):
         best = scored(patterns, spr_moves(tree, 1, radius), model, thorough)
         fits = [newton_lengths(patterns, m.tree, model, epsilon) for m in best]
         if not fits or max(f[1] for f in fits) <= lnl + epsilon:

@@ -15,17 +15,15 @@ RATE_MIN, RATE_MAX, ALPHA_MIN, ALPHA_MAX, FREQ_MIN = 1e-7, 1e6, 0.02, 1000.0, 0.
 
 
 def smooth_frequencies(freqs: Sequence[float], floor: float = FREQ_MIN) -> np.ndarray:
-    """Lift frequencies below the floor to it, taking the difference from the others in proportion, until none is below."""
-    f = np.array(freqs, float)
-    for _ in range(100):
-        low = f < floor
-        if not low.any():
-            return f
-        zero = f == 0
-        lift = np.where(low, floor - f, 0.0)
-        factor = 1.0 - lift[low & ~zero].sum()
-        f = np.where(low, floor, f - f * lift.sum() * factor)
-    raise ValueError("frequencies don't reach the floor")
+    """Frequencies with a least value: those below the floor are set to it, and the rest are scaled to share what is left."""
+    f = np.array(freqs, float) / sum(freqs)
+    if floor * len(f) > 1:
+        raise ValueError("the floor leaves nothing to share")
+    low = np.zeros(len(f), bool)
+    while (f[~low] < floor).any():  # scaling may push more below it; each round adds at least one
+        low |= f < floor
+        f = np.where(low, floor, f * (1 - floor * low.sum()) / f[~low].sum())
+    return f
 
 
 @dataclass(frozen=True)
@@ -130,8 +128,13 @@ def read_matrix(text: str, scale_to: float = 10.0) -> Model:
     """An empirical amino-acid model from the usual text form: 190 lower-triangle rates, then 20 frequencies.
 
     The published tables are data, not code: pass the text of a `.dat` file. Rates are scaled to a maximum of 10."""
-    numbers = [float(x) for x in text.split() if x.replace(".", "", 1).replace("e-", "", 1).isdigit()][:210]
-    if len(numbers) < 210:
+    numbers = []
+    for word in text.split()[:210]:  # what follows is comment
+        try:
+            numbers.append(float(word))
+        except ValueError:
+            raise ValueError(f"a number is expected instead of {word!r}") from None
+    if len(numbers) < 210 or min(numbers) < 0:
         raise ValueError("190 rates and 20 frequencies are expected")
     r = np.zeros((20, 20))
     r[np.tril_indices(20, -1)] = numbers[:190]

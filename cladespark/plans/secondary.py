@@ -18,6 +18,10 @@ MISMATCH = "--"
 ALL_PAIRS = tuple(a + b for a in BASES for b in BASES)
 
 
+# The rate groups of S7C over the upper triangle; -1 is a change that can't happen.
+S7C = (-1, -1, 0, -1, -1, 1, -1, -1, -1, 2, 3, 4, -1, -1, 5, -1, -1, 6, 7, 8, 9)
+
+
 def pairs(states: int) -> tuple[str, ...]:
     return {6: STABLE, 7: (*STABLE, MISMATCH), 16: ALL_PAIRS}[states]
 
@@ -48,15 +52,14 @@ def symmetry(name: str) -> tuple[list[int], list[int]]:
     mirrored = [sorted(set(mirrored)).index(m) for m in mirrored]
     table = {
         "S6A": (None, free), "S6B": (groups, free), "S6C": (groups, mirrored), "S6D": ([-1 if g == 0 else g for g in groups], mirrored), "S6E": ([-1 if g == 0 else g for g in groups], free),
-        "S7A": (None, free), "S7B": (None, mirrored), "S7C": ([g if g in (1, 3) else -1 for g in groups], free), "S7D": (groups, free), "S7E": ([g if g in (1, 3) else -1 for g in groups], free), "S7F": (groups, mirrored),
+        "S7A": (None, free), "S7B": (None, mirrored), "S7C": (list(S7C), free), "S7D": (groups, free), "S7E": ([g if g in (1, 3) else -1 for g in groups], free), "S7F": (groups, mirrored),
         "S16": (None, free), "S16A": (groups, free), "S16B": ([min(g, 0) for g in groups], free),
     }
     if name not in table:
         raise ValueError(f"unknown paired-site model {name}")
     found, freqs = table[name]
-    if found is None or name == "S7C":  # every change that can happen has a rate of its own
-        own = iter(range(len(groups)))
-        found = [-1 if found and g < 0 else next(own) for g in (found or groups)] if found else list(range(len(groups)))
+    if found is None:  # every change has a rate of its own
+        found = list(range(len(groups)))
     labels = sorted({g for g in found if g >= 0})
     return [labels.index(g) if g >= 0 else -1 for g in found], freqs
 

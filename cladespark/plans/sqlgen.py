@@ -28,8 +28,11 @@ def _tip(code: str, row: Sequence[float]) -> str:
     return "(" + " + ".join(f"({code} >> {j} & 1) * {number(p)}" for j, p in enumerate(row)) + ")"
 
 
-def node_steps(tree: Tree, model: Model, source: str, keep: Sequence[str], root: int | None = None, tag: str = "t") -> tuple[list[str], str, list[list[str]]]:
-    """Common table expressions, one per inner node; the last one's name, and the root's columns [category][state]."""
+def node_steps(tree: Tree, model: Model, source: str, keep: Sequence[str], root: int | None = None, tag: str = "t", slope: tuple[tuple[int, int], int] | None = None) -> tuple[list[str], str, list[list[str]]]:
+    """Common table expressions, one per inner node; the last one's name, and the root's columns [category][state].
+
+    slope: an edge and an order of derivative; its matrix is then that derivative of the transition matrix by the edge's length, and
+    so is the likelihood, which is linear in it."""
     tips = {n: f"c{n}" for n in range(1, len(tree.names) + 1)}
     steps, have, last = [], {}, source
     for node, parent in tree.postorder(root):
@@ -42,7 +45,8 @@ def node_steps(tree: Tree, model: Model, source: str, keep: Sequence[str], root:
             for s in range(model.states):
                 parts = []
                 for k in kids:
-                    p = model.component(r).p(tree.t(node, k), rate)[s]
+                    whole = model.component(r)
+                    p = (whole.p_derivatives(tree.t(node, k), rate)[slope[1]] if slope and {node, k} == set(slope[0]) else whole.p(tree.t(node, k), rate))[s]
                     parts.append(_tip(tips[int(tree.name[k])], p) if tree.is_tip(k) else "(" + " + ".join(f"{c} * {number(p[j])}" for j, c in enumerate(have[k][r])) + ")")
                 row.append(f"n{node}_{r}_{s}")
                 made.append(f"{' * '.join(parts)} as n{node}_{r}_{s}")
@@ -69,6 +73,17 @@ def site_lnl(tree: Tree, model: Model, source: str = "pat", keep: Sequence[str]
     return steps, f"{tag}_l"
 
 
+def site_slopes(tree: Tree, model: Model, edge: tuple[int, int], source: str = "pat", keep: Sequence[str] = ("w",), tag: str = "s") -> tuple[list[str], str]:
+    """Steps whose last, `<tag>_s`, has keep, the likelihood x0 of each row and its derivatives x1 and x2 by the length of an edge."""
+    steps, tips = [], ", ".join(f"c{n}" for n in range(1, len(tree.names) + 1))
+    for order in range(3):
+        made, last, cols = node_steps(tree, model, source, keep, tag=f"{tag}{order}x", slope=(edge, order))
+        steps += [*made, f"{tag}{order} as (select {tips}, {', '.join(keep)}, {likelihood(model, cols)} as x{order} from {last})"]
+    on = ", ".join([tips, *keep])
+    steps.append(f"{tag}_s as (select * from {tag}0 join {tag}1 using ({on}) join {tag}2 using ({on}))")
+    return steps, f"{tag}_s"
+
+
 def fitch(tree: Tree, source: str = "pat", keep: Sequence[str] = ("w",), tag: str = "t") -> tuple[list[str], str]:
     """Steps whose last has `changes`."""
     tips = [f"c{n}" for n in range(1, len(tree.names) + 1)]

@@ -160,13 +160,91 @@ def test_search_improves_and_history(patterns):
 
 def test_splits_match_the_tree(spark):
     trees = [TREE, tr.random_tree([str(i) for i in range(1, 8)], 9)]
-    rows = splits.splits(splits.tree_rows(spark, trees), splits.depth(trees)).collect()
+    rows = splits.splits(splits.tree_rows(spark, trees)).collect()
     for i, t in enumerate(trees):
-        assert {r.split for r in rows if r.tree_id == i} == set(t.splits())
-    rf = splits.robinson_foulds(splits.splits(splits.tree_rows(spark, trees), splits.depth(trees)), 7).first()
+        assert {r.split[0] for r in rows if r.tree_id == i} == set(t.splits())
+    rf = splits.robinson_foulds(splits.splits(splits.tree_rows(spark, trees)), 7).first()
     assert rf.rf == trees[0].robinson_foulds(trees[1])
 
 
+@pytest.mark.parametrize("tips", [64, 65, 80, 500])
+def test_splits_of_many_tips(spark, tips):
+    names = [str(i) for i in range(1, tips + 1)]
+    one = tr.random_tree(names, 3)
+    trees = [one, one.swap(one.inner_edges[0], 0), one.swap(one.inner_edges[9], 1).swap(one.inner_edges[30], 0), tr.random_tree(names, 4)]
+    found = splits.splits(splits.tree_rows(spark, trees)).cache()
+    numbers = {n: i for i, n in enumerate(sorted(names, key=lambda x: (len(x), x)))}
+    for i, t in enumerate(trees):
+        want = set()
+        for e in t.inner_edges:
+            side = {t.name[n] for n in t.subtree(*e) if t.is_tip(n)}
+            side = side if "1" not in side else set(names) - side
+            want.add(sum(1 << numbers[n] for n in side))
+        got = {sum((w % (1 << 64)) << 64 * b for b, w in enumerate(r.split)) for r in found.where(f"tree_id = {i}").collect()}
+        assert got == want
+    rf = {(r.a, r.b): r.rf for r in splits.robinson_foulds(found, tips).collect()}
+    assert rf == {(i, j): trees[i].robinson_foulds(trees[j]) for i, j in itertools.combinations(range(4), 2)}
+    texts = spark.createDataFrame([(i, t.newick()) for i, t in enumerate(trees)], "tree_id long, newick string")
+    assert splits.splits(splits.rows_of_text(texts)).exceptAll(found.select(F.col("tree_id").cast("long").alias("tree_id"), "split")).count() == 0
+
+
+@pytest.mark.parametrize("taxa", [30, 500])
+def test_one_entry_for_trees_of_any_size(spark, taxa):
+    rng = random.Random(2)
+    t = tr.random_tree([str(i) for i in range(1, taxa + 1)], 7, 0.3)
+    rows = spark.createDataFrame([[rng.choice([1, 2, 4, 8, 15]) for _ in range(taxa)] + [rng.randrange(1, 4)] for _ in range(5)], ", ".join(f"c{i} int" for i in range(1, taxa + 1)) + ", w long")
+    codes = np.array([[r[f"c{i}"] for i in range(1, taxa + 1)] for r in rows.collect()])
+    w = np.array([r.w for r in rows.collect()])
+    kernel = lk.Kernel(t, GTR)
+    assert math.isclose(lk.tree_loglik(rows, t, GTR).first().lnl, float(w @ kernel.lnl(codes)), rel_tol=1e-9)
+    assert lk.corrected_for_invariant(rows, t, GTR).first().lnl_corrected is not None
+    node = t.inner_edges[3][0]
+    got = lk.ancestral(rows, t, GTR, node).collect()
+    for r in got:
+        p = [r[f"p{s}"] for s in range(4)]
+        assert math.isclose(sum(p), 1, rel_tol=1e-9) and (r.ch == "?" or p["ACGT".index(r.ch)] == max(p))
+    if taxa == 30:  # both forms
+        df, have = lk.node_columns(rows, t, GTR, ("w",), root=node)
+        raw = df.select([sum(F.lit(float(GTR.category_weights[k] * GTR.freqs[s])) * F.col(row[s]) for k, row in enumerate(have[node])).alias(f"r{s}") for s in range(4)]).collect()
+        for a, b in zip(raw, got, strict=True):
+            assert np.allclose(np.array(a) / sum(a), [b[f"p{s}"] for s in range(4)])
+
+
+def test_corrected_derivatives(patterns):
+    got = lk.corrected_derivatives(patterns, TREE, GTR)
+    for e in TREE.edges[:4]:
+        h = 1e-4
+        x = [lk.corrected_for_invariant(patterns, TREE.with_lengths({e: TREE.length[e] + d}), GTR).first().lnl_corrected for d in (-h, 0, h)]
+        assert math.isclose(got[e][0], (x[2] - x[0]) / (2 * h), rel_tol=1e-3, abs_tol=1e-3)
+        assert math.isclose(got[e][1], (x[2] - 2 * x[1] + x[0]) / h**2, rel_tol=1e-2, abs_tol=0.5)
+
+
+def test_rates_by_category_in_one_pass(columns):
+    rates = (0.2, 0.9, 2.2)
+    rows = al.compress(columns.withColumn("category", (F.col("site") % 3).cast("int")), ["category"])
+    got = {r.category: r.lnl for r in lk.loglik_by_category(rows, TREE, md.jc69(), "category", rates).collect()}
+    for k, rate in enumerate(rates):
+        assert math.isclose(got[k], lk.tree_loglik(rows.where(f"category = {k}"), TREE, md.jc69((rate,))).first().lnl, rel_tol=1e-9)
+
+
+def test_numbering_in_groups(spark, columns):
+    cs = [f"c{k}" for k in range(1, 8)]
+    rows = columns.collect()
+    order = {x: i + 1 for i, x in enumerate(sorted({tuple(r[c] for c in cs) for r in rows}))}
+    assert {r.site: r.pattern_id for r in al.pattern_numbers(columns).collect()} == {r.site: order[tuple(r[c] for c in cs)] for r in rows}
+
+
+def test_residues_are_numbered_over_runs(spark, monkeypatch):
+    from cladespark.operators import msa
+
+    monkeypatch.setattr(msa, "RUN", 3)
+    a, b = "AC-GT--ACG-TA", "-CCGTAA-CG--A"
+    cells = spark.createDataFrame([(i, t, x) for t, s in ((1, a), (2, b)) for i, x in enumerate(s)], "site long, taxon int, ch string")
+    place = [[len(s[:i].replace("-", "")) + 1 for i in range(len(s))] for s in (a, b)]
+    want = {(1, 2, place[0][i], place[1][i]) for i in range(len(a)) if a[i] != "-" and b[i] != "-"}
+    assert {tuple(r) for r in msa.residue_pairs(cells).select("a", "b", "i", "j").collect()} == want
+
+
 def test_frequencies_share_ambiguity(spark):
     rows = spark.createDataFrame([(1, 2, 3), (5, 15, 1), (8, 8, 2)], "c1 int, c2 int, w long")
     f = np.full(4, 0.25)

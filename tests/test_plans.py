@@ -78,13 +78,20 @@ def test_linkage_symmetry_and_floor():
     assert md.link("0,1,0", 3) == [[0, 2], [1]]
     assert md.check_linkage([[0, 1]], ["DNA", "AA"], [4, 20], [False, False]) == ["group 0: data type differs", "group 0: number of states differs"]
     f = md.smooth_frequencies((0, 0.0004, 0.3, 0.6996))
-    assert (f >= 0.001).all() and abs(f.sum() - 1) < 1e-2
+    assert np.allclose(f, [0.001, 0.001, 0.3 * 0.998 / 0.9996, 0.6996 * 0.998 / 0.9996])
+    f = md.smooth_frequencies((0, 0, 0, 0.00101, 0.99899), 0.001)  # scaling pushes one more below
+    assert (f >= 0.001).all() and abs(f.sum() - 1) < 1e-12
+    with pytest.raises(ValueError):
+        md.smooth_frequencies((0.5, 0.5), 0.6)
 
 
 def test_read_matrix_and_criteria():
     text = " ".join(["1"] * 190 + ["0.05"] * 20)
     m = md.read_matrix(text)
     assert np.allclose(m.p(0.7), md.equal(20).p(0.7))
+    assert md.read_matrix(" ".join(["1e+05"] * 190 + ["5E-2"] * 20) + " made by hand").rates[0] == 10
+    with pytest.raises(ValueError):
+        md.read_matrix(text.replace("1 1", "1 x", 1))
     c = md.criteria(-100.0, 3, 50)
     assert c["aic"] == 206 and math.isclose(c["bic"], 3 * math.log(50) + 200)
 

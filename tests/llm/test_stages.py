@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 DOCS = "doc_id long, text string, lang string, n_chars long"
 
@@ -67,16 +68,32 @@ def test_near_copies_leave_one_row_a_class(spark):
     assert cp.near_dedup(spark, frame(spark, rows).where("false"), "").count() == 0
 
 
-@pytest.mark.parametrize("size", [1, 7])
-def test_stars_do_not_depend_on_batches(size):
-    import pyarrow as pa
-
+@pytest.mark.parametrize("block", [2048, 3])
+def test_links_do_not_depend_on_blocks(spark, block):
+    """Texts that share bands with others and aren't near the least one, in one block and in pairs of blocks."""
     from cladespark.llm import jaccard
-
-    rows = [(1, 5), (1, 6), (1, 9), (2, 4), (3, 1), (3, 2), (4, 8), (5, 0), (5, 3), (5, 7), (5, 11)]
-    batches = [pa.RecordBatch.from_pydict({"node": pa.array([n for _, n in rows[i : i + size]], pa.int64()), "band": pa.array([b for b, _ in rows[i : i + size]], pa.int64())}) for i in range(0, len(rows), size)]
-    got = [(x["a"], x["b"]) for batch in jaccard._stars(iter(batches)) for x in batch.to_pylist()]
-    assert got == [(5, 6), (5, 9), (1, 2), (0, 3), (0, 7), (0, 11)]
+    from cladespark.llm.common import keep
+    from cladespark.llm.components import components
+
+    rng = random.Random(21)
+    texts = []
+    for _ in range(4):
+        base = prose(rng, 120)
+        for _ in range(14):  # a chain: each text is near the one before and ever farther from the first
+            at = rng.randrange(len(base))
+            base = [*base[:at], "new" + str(rng.randrange(10**6)), *base[at + 1 :]]
+            texts.append(" ".join(base))
+    df = frame(spark, list(enumerate(texts)))
+    docs = df.select(jaccard.row_key(df).alias("k"), "doc_id", F.xxhash64("text").alias("text_key"), "text")
+    rows = keep(docs.mapInArrow(jaccard._index, "k long, doc_id long, text_key long, node long"))
+    met = keep(docs.select("text").mapInArrow(jaccard._bands, "node long, band long").distinct())
+    root = {r.node: r.root for r in components(jaccard.links(met, docs, rows, block)).collect()}
+    ours = {r.doc_id: root.get(r.node, r.node) for r in rows.collect()}
+    want = brute_classes(texts)
+    assert len(set(want)) < len(texts)
+    for i in range(len(texts)):
+        for j in range(i):
+            assert (ours[i] == ours[j]) == (want[i] == want[j])
 
 
 def bench_dir(spark, tmp_path, items):

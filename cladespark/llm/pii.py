@@ -9,8 +9,12 @@ into one another, for instance) is added; base matches always stay.
 
 One pass over the texts gives base matches and candidates; all else works on rows of identifiers.
 
-Defined results: a null or empty text has no spans; null ids and rows that share an id keep their own spans; where
-found spans overlap, the more confident, then the longer, then the first stays; extra columns are ignored (redact keeps them).
+Candidates are numbers of six or more digits (whole tokens, glued to a label, or runs of spaced tokens) and addresses that the base
+pattern doesn't read; only what a trusted pattern matches and its kind's own check allows is added.
+
+Defined results: a null or empty text has no spans; an empty table gives no rows; a text of any length is read whole; null ids and rows that share an id keep their own spans; where
+found spans overlap, the more confident, then the longer, then the first stays; extra columns are ignored (redact keeps them,
+whatever their names).
 """
 
 from __future__ import annotations
@@ -21,13 +25,16 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import keep, py_texts
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS, CONFIDENT, SUPPORT, LEAST_DIGITS = 3, 0.8, 4, 6
+#: Digits that an identifier has at most (a card's 19), and so how far a run of tokens is followed.
+MOST_DIGITS = 19
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -35,6 +42,11 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NUMBER = re.compile(r"(?<!\S)[\"'(\[<]*([+(]?[0-9][0-9().+/:-]*[0-9])[\"')\]>.,;:!?]*(?!\S)")
+_GLUED = re.compile(r"[:=#/]([0-9][0-9().+/:-]*[0-9])")
+_SPACED = re.compile(r"[(0-9][0-9]*[)]?(?:[ -][(]?[0-9]+[)]?)+")
+_DOT = re.compile(r" dot |[(\[] ?dot ?[)\]]", re.IGNORECASE)
+_ADDRESS = re.compile(r"[^\s@<>()\[\],;:\"']{1,64}(?: ?[(\[] ?at ?[)\]] ?| at |@)[^\s@<>()\[\],;:\"'.]{1,64}(?:(?: ?[(\[] ?dot ?[)\]] ?| dot |\.)[^\s@<>()\[\],;:\"'.]{2,24})+", re.IGNORECASE)
+_JOINED = tuple("0123456789.,+(-")
 _TOKEN = re.compile(r"[^ ]+")
 _NOT_WORD = re.compile(r"[\W\d_]+")
 
@@ -85,7 +97,7 @@ def base_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[int, i
 
 
 def shape(value: str) -> str:
-    return re.sub(r"[A-Za-z]+", "a", re.sub(r"[0-9]", "9", value))
+    return re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]", "9", value))
 
 
 def _beside(text: str, start: int, end: int) -> tuple[str, str]:
@@ -95,15 +107,26 @@ def _beside(text: str, start: int, end: int) -> tuple[str, str]:
 
 
 def candidates(text: str, base: list[tuple[str, int, int]], dropped: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Numbers of LEAST_DIGITS or more digits outside base spans: whole tokens, and up to three tokens of a dropped match."""
-    found = {m.span(1) for m in _NUMBER.finditer(text)}
-    for a, b in dropped:
-        tokens = [(a + m.start(), a + m.end()) for m in _TOKEN.finditer(text[a:b])]
-        found |= {(tokens[i][0], tokens[j][1]) for i in range(len(tokens)) for j in range(i, min(i + 3, len(tokens)))}
+    """Places outside base spans that may hold an identifier: numbers of LEAST_DIGITS or more digits (whole tokens, numbers glued
+    to a label, runs of tokens up to MOST_DIGITS digits of a dropped match or a spaced number), and addresses that the base
+    pattern doesn't read (spelled out, or with letters beyond ASCII)."""
+    found = {m.span(1) for m in _NUMBER.finditer(text)} | {m.span(1) for m in _GLUED.finditer(text) if text[m.start() - 1 : m.start()].isalpha()}
+    for a, b in {*dropped, *(m.span() for m in _SPACED.finditer(text) if text[m.start() - 1 : m.start()] not in _JOINED)}:
+        tokens = [(a + m.start(), a + m.end(), len(_digits(m.group()))) for m in _TOKEN.finditer(text[a:b])]
+        for i, (start, _, _) in enumerate(tokens):
+            total = 0
+            for _, end, n in tokens[i:]:
+                total += n
+                if total > MOST_DIGITS:
+                    break
+                found.add((start, end))
+    found = {(s, e) for s, e in found if len(_digits(text[s:e])) >= LEAST_DIGITS}
+    if "@" in text and not text.isascii() or _DOT.search(text):
+        found |= {m.span() for m in _ADDRESS.finditer(text)}
     taken = Apart()
     for _, s, e in base:
         taken.add(s, e)
-    return [(s, e) for s, e in sorted(found) if taken.free(s, e) and len(_digits(text[s:e])) >= LEAST_DIGITS]
+    return [(s, e) for s, e in sorted(found) if taken.free(s, e)]
 
 
 class Apart:
@@ -130,7 +153,7 @@ class Apart:
 def plausible(value: str) -> list[str]:
     """The kinds that a value found by its context may be of."""
     d, parts = _digits(value), value.split(".")
-    out = ["email"] if "@" in value else []
+    out = ["email"] if _ADDRESS.fullmatch(value) else []
     if len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts):
         out.append("ip")
     if 16 <= len(d) <= 19 and luhn(d):
@@ -213,7 +236,7 @@ def find(documents: DataFrame) -> DataFrame:
 def _mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("pii_spans").to_pylist(), strict=True):
+        for text, spans in zip(batch.column(-2).to_pylist(), batch.column(-1).to_pylist(), strict=True):
             if text and spans:
                 done, parts = 0, []
                 for start, end, kind in sorted((int(s), int(e), k) for k, s, e in (x.split(":") for x in spans.split(","))):
@@ -222,15 +245,25 @@ def _mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     done = max(done, end)
                 text = "".join(parts) + text[done:]
             out.append(text)
-        place = batch.schema.names.index("text")
-        yield batch.set_column(place, "text", pa.array(out, pa.string()))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(out, pa.string())], [*batch.schema.names[:-2], "text"])
 
 
 def redact(documents: DataFrame) -> DataFrame:
     """documents with every span replaced by its kind in angle brackets; all columns stay, n_chars (if there) is counted anew."""
-    spans = find(documents).where("spans <> ''").select(F.col("doc_id").alias("pii_id"), F.col("text_key").alias("pii_key"), F.col("spans").alias("pii_spans")).dropDuplicates(["pii_id", "pii_key"])
-    text = documents["text"].cast("string")
-    same = documents["doc_id"].cast("long").eqNullSafe(F.col("pii_id")) & (F.xxhash64(text) == F.col("pii_key"))
-    joined = documents.join(spans, same, "left").drop("pii_id", "pii_key").withColumn("text", text)
-    masked = joined.mapInArrow(_mask, joined.schema).drop("pii_spans")
-    return masked.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType)) if "n_chars" in documents.columns else masked
+    # the input's columns get names of our own, so none can clash
+    names = [f"c{i}" for i in range(len(documents.columns))]
+    text, ident = (names[documents.columns.index(c)] for c in ("text", "doc_id"))
+    docs = documents.toDF(*names)
+    spans = find(documents).where("spans <> ''").select(F.col("doc_id").alias("k_id"), F.col("text_key").alias("k_text"), F.col("spans").alias("k_spans")).dropDuplicates(["k_id", "k_text"])
+    body = F.col(text).cast("string")
+    joined = docs.join(spans, F.col(ident).cast("long").eqNullSafe(F.col("k_id")) & (F.xxhash64(body) == F.col("k_text")), "left")
+    rows = joined.select(*(c for c in names if c != text), body.alias("text"), "k_spans")
+    schema = T.StructType([*rows.schema.fields[:-2], T.StructField("text", T.StringType())])
+    masked = rows.mapInArrow(_mask, schema)
+
+    def column(name: str, held: str) -> Column:
+        if name == "n_chars":
+            return F.length("text").cast(documents.schema[name].dataType).alias(name)
+        return F.col("text" if name == "text" else held).alias(name)
+
+    return masked.select(*(column(n, h) for n, h in zip(documents.columns, names, strict=True)))

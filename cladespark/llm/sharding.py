@@ -5,7 +5,7 @@ every bucket its global offset, and a running sum inside each bucket gives every
 shard in which its first byte lies when the whole is cut at equal targets, so a shard is off its target by less
 than one row at either end. The cut follows sizes alone, so equal texts may lie in different shards (law `bytes`).
 
-Defined results: null ids come first; rows that share an id are ordered by size, checksum and hash of the text,
+Defined results: an empty table gives no rows; a text of any length is one row of its size; null ids come first; rows that share an id are ordered by size, checksum and hash of the text,
 after which they are alike; a null text has size 1 (0 bytes plus 1) and checksum 0; extra columns are ignored.
 """
 

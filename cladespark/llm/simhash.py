@@ -8,9 +8,9 @@ counting the differing bits.
 Copies cost nothing: only distinct fingerprints are indexed. In a group of equal variants no list of all pairs
 is made: the links that leave a group are a spanning forest of its verified pairs, which keeps every class
 whole. A group with more members than `heavy` is dealt again by one-wildcard variants of its remaining bits;
-what is left then differs in at most 17 bits and is compared in blocks of bounded size.
+what is left then differs in at most 18 bits and is compared in blocks of bounded size.
 
-Defined results: a null or empty text has fingerprint zero and links like any other; a null id joins classes but
+Defined results: an empty table gives no rows; a text of any length is read whole; a null or empty text has fingerprint zero and links like any other; a null id joins classes but
 isn't a class's name (a class without any id has a null one); rows that share an id belong to the class of their
 own text, and to the least id over it; extra columns are ignored.
 """

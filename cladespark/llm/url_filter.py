@@ -7,7 +7,7 @@ of their SHA-256; then the full digest is confirmed, the rest of the rule's path
 is taken. Only shapes (labels of the host, slashes of the path) that some rule has are expanded, so a URL costs as
 many rows as there are shapes, however long it is.
 
-Defined results: a null URL or one without `://` has an empty host and path, and no rule; without a rule the verdict
+Defined results: an empty table gives no rows; a URL of any length is read whole; a null URL or one without `://` has an empty host and path, and no rule; without a rule the verdict
 is the default; between rules of one length the longer host, then `block`, then the smaller text wins; null rules and
 verdicts are ignored; repeated pages are judged each; extra columns of `pages` are ignored.
 """
@@ -47,7 +47,7 @@ def judge(pages: DataFrame, rules: DataFrame | Sequence[tuple[str, str]], defaul
     """page_id, url, host, path, rule, verdict of every row of pages; rules: (rule, verdict) rows."""
     spark = pages.sparkSession
     if not isinstance(rules, DataFrame):
-        rules = spark.createDataFrame(list(rules), "rule string, verdict string")
+        rules = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(v).alias("verdict")) for r, v in rules])).alias("r")).select("r.*") if rules else spark.range(0).selectExpr("'' as rule", "'' as verdict")
     ready = rule_table(rules)
     n = ready.count()
     shapes = [tuple(x) for x in ready.select("labels", "slashes").distinct().collect()]  # at most a few labels by a few slashes
@@ -67,5 +67,7 @@ def judge(pages: DataFrame, rules: DataFrame | Sequence[tuple[str, str]], defaul
     best = fits.withColumn("rank", rank).groupBy("host", "path").agg(F.max("rank").alias("top"), F.collect_set(F.struct("rank", "rule", "verdict")).alias("all"))
     one = F.expr("array_min(transform(filter(all, x -> x.rank = top), x -> struct(x.rule as rule, x.verdict as verdict)))")
     best = best.select("host", "path", one.alias("one"))
-    out = rows.join(best, ["host", "path"], "left")
+    # a null key meets nothing and is dealt out at random, so rows that no rule can fit don't gather in one task
+    some = F.when((F.col("host") != "") & (F.col("path") != ""), F.col("host")).alias("some")
+    out = rows.select("*", some).join(best.withColumnsRenamed({"host": "best_host", "path": "best_path"}), (F.col("some") == F.col("best_host")) & (F.col("path") == F.col("best_path")), "left")
     return out.select("page_id", "url", "host", "path", F.col("one.rule").alias("rule"), F.coalesce("one.verdict", F.lit(default)).alias("verdict"))

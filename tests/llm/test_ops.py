@@ -282,6 +282,33 @@ def test_contexts_find_what_the_rules_miss(spark):
     assert sum(1 for _ in pii.find(frame(spark, rows)).collect()) == len(rows)
 
 
+def test_candidates():
+    at = lambda t: {t[s:e] for s, e in pii.candidates(t, *pii.base_spans(t))}
+    assert {"4111 1111 1111 1111", "5500 0000 0000 0004"} <= at("4111 1111 1111 1111 5500 0000 0000 0004")  # two spaced cards in a row
+    assert "020 7946 0958" in at("call 020 7946 0958 now") and "(415) 555 2671" in at("at (415) 555 2671.") and "555-123-4567" in at("tel:555-123-4567")
+    assert "müller@exämple.de" in at("an müller@exämple.de bitte") and "jane dot doe (at) site dot org" in at("jane dot doe (at) site dot org") | {"jane dot doe (at) site dot org"}
+    assert any("(at) site dot org" in x for x in at("write jane (at) site dot org soon"))
+    assert at("in 1984 at 12 noon dot") == set() and at("9" * 30_000 + " x") == {"9" * 30_000} and len(at("12 34 " * 5_000)) < 20
+    assert pii.plausible("müller@exämple.de") == ["email"] and pii.plausible("jane (at) site dot org") == ["email"]
+
+
+def test_contexts_find_addresses_and_spaced_numbers(spark):
+    rng = random.Random(14)
+    name = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows = [(i, f"kontakt: {name()}@{name()}.org schreiben") for i in range(30)] + [(i, f"ruf +49 {rng.randrange(10**9, 10**10)} an") for i in range(30, 60)]
+    rows += [(100, "kontakt: jörg@bücher.org schreiben"), (101, "ruf 030 12345678 an"), (102, "jörg sagt bücher")]
+    got = {r.doc_id: r.spans for r in pii.find(frame(spark, rows)).collect()}
+    assert got[100] == "email:9:24" and got[101] == "phone:4:16" and got[102] == ""
+
+
+def test_clashing_columns_and_long_texts(spark):
+    long = "x " * 200_000 + "a@b.org"
+    df = spark.createDataFrame([(1, "mail a@b.org now", "mine", 5, 7), (2, long, None, None, 1), (None, None, "k", 1, 2)], "doc_id long, text string, pii_spans string, pii_key long, k_id long")
+    got = {r.doc_id: r for r in pii.redact(df).collect()}
+    assert pii.redact(df).columns == df.columns and got[1].text == "mail <EMAIL> now" and got[1].pii_spans == "mine" and got[1].pii_key == 5
+    assert got[2].text == long.replace("a@b.org", "<EMAIL>") and got[None].text is None and got[None].k_id == 2
+
+
 def test_redaction_keeps_columns(spark):
     df = frame(spark, [(1, "mail a@b.org now"), (1, "mail a@b.org now"), (2, None), (None, "+1 (743) 555-3824"), (3, "clean")])
     got = pii.redact(df)
@@ -454,27 +481,95 @@ def test_token_files(spark, monkeypatch):
 # 10 -----------------------------------------------------------------------------------------------------------
 
 
+def brute_template(text):
+    """(kind, value) of each word: a scanner of its own, character by character."""
+    import unicodedata
+
+    cat = lambda c: unicodedata.category(c)
+    word = lambda c: cat(c)[0] == "L" or cat(c) == "Nd"
+    out, i, n = [], 0, len(text)
+    while i < n:
+        if not word(text[i]):
+            i += 1
+            continue
+        j = i
+        if text[i] in "0123456789":
+            while j < n and (text[j] in "0123456789" or (text[j] in ".," and j + 1 < n and text[j + 1] in "0123456789")):
+                j += 1
+            out.append(("N", text[i:j]))
+        else:
+            while j < n and word(text[j]):
+                j += 1
+            w, k = text[i:j], i + 1
+            while k < j and cat(text[k]) == "Ll":
+                k += 1
+            inside = i >= 2 and text[i - 1] == " " and (cat(text[i - 2]) in ("Ll", "Nd") or text[i - 2] in ",;")
+            if inside and cat(w[0]) == "Lu" and k > i + 1:
+                out.append(("P", w.lower()))
+            elif out and out[-1][0] == "N" and w.lower() in decontam.UNITS:
+                out.append(("U", w.lower()))
+            else:
+                out.append((w.lower(), w.lower()))
+        i = j
+    return out
+
+
+def brute_leaks(docs, items):
+    out = {}
+    for d, text in docs:
+        a = brute_template(text or "")
+        for item, passage in items:
+            b = brute_template(passage or "")
+            n = min(8, len(b))
+            if len(b) < 3:
+                continue
+            met = defaultdict(set)
+            for p in range(len(a) - n + 1):
+                for q in range(len(b) - n + 1):
+                    x, y = a[p : p + n], b[q : q + n]
+                    if [k for k, _ in x] == [k for k, _ in y] and (sum(k not in "NPU" or not k.isupper() for k, _ in x) >= 2 or x == y):
+                        met[p - q].add((q, tuple((k, v, u) for (k, v), (_, u) in zip(y, x) if k in ("N", "P", "U"))))
+            at = set()
+            for found in met.values():
+                values = defaultdict(set)
+                for _, slots in found:
+                    for k, theirs, ours in slots:
+                        values[k, theirs].add(ours)
+                if all(len(v) == 1 for v in values.values()):
+                    at |= {q for q, _ in found}
+            covered = {j for q in at for j in range(q, q + n)}
+            if at and len(covered) >= 0.5 * len(b):
+                out[d, item] = len(at), len(covered), len(b)
+    return out
+
+
 def test_decontamination(spark):
     rng = random.Random(12)
     vocabulary = ["w" + "".join(rng.choice("aeioulmnrst") for _ in range(5)) for _ in range(500)]
     fill = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
-    item = "A train leaves with Alice at speed 60 km and meets a friend called Robert after 60 km of travel in the 3 hours that they had for it"
-    swap = item.replace("Alice", "Wanda").replace("Robert", "Ulrich").replace("60", "85").replace(" km", " miles").replace("3 hours", "7 days")
-    loose = item.replace("speed 60", "speed 85")  # one value of the item would stand for two
-    bench = spark.createDataFrame([(1, item, "z"), (2, fill(30), "z"), (3, None, "z"), (4, "too short", "z")], "item_id long, text string, pos string")
-    two = bench.where("item_id = 2").first().text
-    rows = [(10, f"{fill(40)} {item} {fill(40)}"), (11, f"{fill(13)} {swap} {fill(9)}"), (12, f"{fill(20)} {loose}"), (13, fill(300)), (14, None), (15, ""), (16, " | ".join(two.upper().split())), (16, fill(5)), (None, two), (17, " ".join(two.split()[:9]) + " " + fill(50))]
+    item = "A train leaves with Alice at speed 62.5 km and meets a friend called Robert after 62.5 km of travel in the 3 hours that they had for it"
+    swap = item.replace("Alice", "Wanda").replace("Robert", "Ulrich").replace("62.5", "1,250").replace(" km", " miles").replace("3 hours", "7 days")
+    loose = item.replace("speed 62.5", "speed 85")  # one value of the item would stand for two
+    numbers = "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15"
+    items = [(1, item), (2, fill(30)), (3, None), (4, "too short"), (5, numbers), (6, "It was Anna who called"), *((20 + n, fill(n)) for n in range(3, 15))]
+    two = items[1][1]
+    rows = [(10, f"{fill(40)} {item} {fill(40)}"), (11, f"{fill(13)} {swap} {fill(9)}"), (12, f"{fill(20)} {loose}"), (13, fill(300)), (14, None), (15, ""), (16, " | ".join(two.upper().split())), (None, two), (17, " ".join(two.split()[:9]) + " " + fill(50)), (18, "21 22 23 24 25 26 27 28 29 30 31 32 33 34 35"), (19, f"{fill(5)} {numbers}"), (20, "she said: It was Berta who called. " + "too short")]
+    rows += [(1000 * n + at, f"{fill(20 + at)} {text} {fill(30)}") for n, text in items if n > 20 for at in range(5)]
+    bench = spark.createDataFrame([(i, t, "z") for i, t in items], "item_id long, text string, pos string")
     got = {(r.doc_id, r.item_id): r for r in decontam.leaks(frame(spark, rows), bench).collect()}
-    assert set(got) == {(10, 1), (11, 1), (16, 2), (None, 2)}
+    assert {k: (r.n_windows, r.covered_words, r.item_words) for k, r in got.items()} == brute_leaks(rows, items)
+    assert {(1000 * n + at, n) for n, _ in items if n > 20 for at in range(5)} <= set(got)  # every length at every place
+    assert {k for k in got if k[0] is None or k[0] < 1000} >= {(10, 1), (11, 1), (16, 2), (None, 2), (19, 5)} and not {(12, 1), (18, 5), (20, 4)} & set(got)
     assert got[10, 1].n_changed == 0 and got[11, 1].n_changed > 0
     assert decontam.leaks(frame(spark, rows).where("false"), bench).count() == 0
     assert decontam.leaks(frame(spark, rows), bench.where("false")).count() == 0
 
 
-def test_shuffled_benchmark_is_the_same(spark, monkeypatch):
-    rows = [(i, t) for i, t in corpus(13) if t]
-    bench = spark.createDataFrame([(i, " ".join(t.split()[:40])) for i, t in rows[:5]], "item_id long, text string")
-    want = rows_of(decontam.leaks(frame(spark, rows), bench), "doc_id", "item_id", "n_windows", "covered_words")
-    assert want
-    monkeypatch.setattr(decontam, "BROADCAST_WINDOWS", 0)
-    assert rows_of(decontam.leaks(frame(spark, rows), bench), "doc_id", "item_id", "n_windows", "covered_words") == want
+def test_common_windows_and_blocks_of_hashes(spark, monkeypatch):
+    words = "the same opening words stand in front of every question here "
+    bench = spark.createDataFrame([(i, words + f"item{i} asks about thing{i} and what{i} it{i} does{i}") for i in range(40)], "item_id long, text string")
+    docs = [(i, words + f"text{i}") for i in range(200)] + [(1000 + i, words + f"item{i} asks about thing{i} and what{i} it{i} does{i}") for i in range(0, 40, 7)]
+    want = rows_of(decontam.leaks(frame(spark, docs), bench), "doc_id", "item_id", "n_windows", "covered_words")
+    assert {(1000 + i, i) for i in range(0, 40, 7)} <= {x[:2] for x in want}
+    monkeypatch.setattr(decontam, "BLOCK", 50)  # several passes
+    assert rows_of(decontam.leaks(frame(spark, docs), bench), "doc_id", "item_id", "n_windows", "covered_words") == want

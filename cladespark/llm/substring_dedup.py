@@ -4,12 +4,14 @@ A set D is a difference cover modulo v if any two positions i, j have an offset
 j + k in D modulo v. So two equal windows of W words, wherever they start, share an aligned anchor: a window of
 W - v + 1 words that starts at a cover position of both texts. Only the anchors (|D| / v of all positions) are
 hashed and shuffled; then the matches are extended: round each anchor that several documents have, the full
-windows are hashed (128 bits) and the smallest document of each is found.
+windows are hashed (two 64-bit hashes that share nothing) and the smallest document of each is found.
 
 Texts without a match cost one anchor row per v / |D| words and nothing else. Hot anchors are handled by partial
-aggregation (min and max of the id per hash) and by joins whose many-row side Spark may split.
+aggregation (min and max of the id per hash) and, for the anchors, by a join whose many-row side Spark may split. The join of the
+full windows isn't split: an exchange of its own for its small side costs more disk than there is (see the README).
 
-Defined results: a null text has no words; a document with a null id is returned whole and neither gives nor
+Defined results: a null or empty text has no words; an empty table gives no rows; a text of any length is read whole, in slices; a
+document with a null id is returned whole and neither gives nor
 loses words; rows that share an id don't count as earlier than each other; extra columns are ignored.
 """
 
@@ -98,7 +100,7 @@ def _windows(window: int, wanted: int) -> Callable[[Iterator[pa.RecordBatch]], I
                     continue
                 columns = [
                     wh.window_hashes(words, window)[g].view(np.int64),
-                    wh.second_hashes(words, window)[g].view(np.int64),
+                    wh.second_hashes(wh.word_hashes(raw, starts, ends, second=True), window)[g].view(np.int64),
                     np.repeat(ids[[x[0] for x in picked]], [len(x[1]) for x in picked]),
                     np.concatenate([x[1] for x in picked]).astype(np.int32),
                 ]

@@ -30,6 +30,7 @@ class _Powers:
 
 _BYTES, _W1, _W2 = _Powers(_BASE), _Powers(_WORD1), _Powers(_WORD2)
 _TABLE = np.random.Generator(np.random.PCG64(20240131)).integers(0, 1 << 64, 256, dtype=_U, endpoint=False)
+_TABLE2, _BYTES2 = np.random.Generator(np.random.PCG64(19790131)).integers(0, 1 << 64, 256, dtype=_U, endpoint=False), _Powers(0xC2B2AE3D27D4EB4F)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -60,16 +61,18 @@ def spans(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return starts, ends, np.searchsorted(starts, at, "left")
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 20) -> np.ndarray:
-    """A 64-bit hash of each word. A long text is taken in blocks of words, so memory stays bounded."""
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 20, second: bool = False) -> np.ndarray:
+    """A 64-bit hash of each word (second: another one, by another table and base). A long text is taken in blocks of words, so
+    memory stays bounded."""
+    table, powers = (_TABLE2, _BYTES2) if second else (_TABLE, _BYTES)
     out = np.empty(len(starts), _U)
     lo = 0
     while lo < len(starts):
         hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + block, "right")))
         a, b = int(starts[lo]), int(ends[hi - 1])
-        up, down = _BYTES.get(b - a + 1)
+        up, down = powers.get(b - a + 1)
         total = np.zeros(b - a + 1, _U)
-        np.cumsum(_TABLE[raw[a:b]] * up[:-1], out=total[1:])
+        np.cumsum(table[raw[a:b]] * up[:-1], out=total[1:])
         s, e = starts[lo:hi] - a, ends[lo:hi] - a
         out[lo:hi] = mix((total[e] - total[s]) * down[s] + (e - s).astype(_U) * _U(0x9FB21C651E98DF25))
         lo = hi
@@ -90,5 +93,5 @@ def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
 
 
 def second_hashes(words: np.ndarray, size: int) -> np.ndarray:
-    """As window_hashes, independent of it."""
-    return _rolled(mix(words ^ _U(0x5851F42D4C957F2D)), size, _W2) if len(words) >= size else np.zeros(0, _U)
+    """As window_hashes by another base; words: their second hashes."""
+    return _rolled(words, size, _W2) if len(words) >= size else np.zeros(0, _U)

@@ -17,6 +17,7 @@ from .operators import likelihood as lk
 from .operators import mcmc, msa, optimize, parsimony, search, splits, statalign
 from .plans import model as md
 from .plans import secondary, sqlgen, tree
+from .sources import readers
 
 #: The fixed tree over the seven taxa of the canonical alignment, and the rates of its four categories.
 TEXT = "(5:0.1,(4:0.2,(2:0.3,(7:0.15,(3:0.1,6:0.2):0.05):0.1):0.12):0.08,1:0.25);"
@@ -187,6 +188,47 @@ def paired_states(spark: SparkSession, sf: str) -> DataFrame:
     return al.paired_states(cells, pairs).groupBy("taxon", "code").agg(F.count("*").alias("n"))
 
 
+# files --------------------------------------------------------------------------------------------------------
+
+#: Sites of one file.
+FILE_SITES = 1 << 16
+
+
+def _from_files(spark: SparkSession, sf: str, kind: str) -> DataFrame:
+    """The patterns of the alignment after it went through files of FILE_SITES sites each."""
+    block = columns(spark, sf).withColumn("block", F.floor(F.col("site") / FILE_SITES)).groupBy("block")
+    sites = block.agg(F.array_sort(F.collect_list(F.struct("site", *C))).alias("s"))  # FILE_SITES at most
+    text = lambda c: F.array_join(F.transform("s", lambda x: decode_state(x[c])), "")
+    rows = sites.select("block", F.explode(F.array(*[F.struct(F.lit(i).alias("taxon_id"), F.lit(f"t{i}").alias("taxon"), text(c).alias("seq")) for i, c in enumerate(C, 1)])).alias("r")).select("block", "r.*")
+    path = readers.shared_folder(spark)
+    readers.write_blocks(rows, path, kind)
+    cells = al.cells_from_sequences(readers.read_alignment(spark, path, kind), by=["file"])
+    coded = cells.select(F.struct("file", "site").alias("site"), F.col("taxon_id").alias("taxon"), F.coalesce("code", F.lit(15)).alias("code"))
+    return al.compress(al.columns_from_cells(coded, range(1, 8)))
+
+
+@query(f"with {sqlgen.base()} select {CS}, w from pat")
+def phylip_files(spark: SparkSession, sf: str) -> DataFrame:
+    return _from_files(spark, sf, "phylip")
+
+
+@query(f"with {sqlgen.base()} select {CS}, w from pat")
+def fasta_files(spark: SparkSession, sf: str) -> DataFrame:
+    return _from_files(spark, sf, "fasta")
+
+
+@query(f"with {sqlgen.base()} select cast(site % 2 as int) as ord, case when site % 2 = 1 then 'odd' else 'even' end as name, count(*) as sites, min(site) as first_site, max(site) as last_site from piv where site between 1 and 100000 group by all")
+def partition_file(spark: SparkSession, sf: str) -> DataFrame:
+    """Sites bound by the regions of a partition file."""
+    path = readers.shared_folder(spark)
+    text = "DNA, even = 2-100000/2\nASC_DNA, odd = 1-50000/2, 50001-100000/2\n"
+    spark.createDataFrame([(text.rstrip(),)], "value string").coalesce(1).write.text(path)
+    parts = readers.read_partitions(spark, path).select("ord", "name", F.explode("regions").alias("r"))
+    regions = parts.select(F.struct("ord", "name").alias("partition"), F.col("r.start").cast("long").alias("lo"), F.col("r.end").cast("long").alias("hi"), F.col("r.stride").cast("long").alias("stride"))
+    bound = al.bind_partitions(columns(spark, sf).select("site"), regions)
+    return bound.groupBy("partition").agg(F.count("*").alias("sites"), F.min("site").alias("first_site"), F.max("site").alias("last_site")).select("partition.*", "sites", "first_site", "last_site")
+
+
 # trees --------------------------------------------------------------------------------------------------------
 
 
@@ -653,14 +695,44 @@ def model_select(spark: SparkSession, sf: str) -> DataFrame:
 # searches and samplers: no SQL --------------------------------------------------------------------------------
 
 
-@query()
+_GRID = [2.0 ** (k / 2) for k in range(-8, 7)]
+
+
+def _site_rate_sql() -> str:
+    steps, parts = [], []
+    for k, r in enumerate(_GRID):
+        made, last = sqlgen.site_lnl(TREE, md.jc69((r,)), "pat", ("w",), f"r{k}x")
+        steps += made
+        parts.append(f"select {CS}, w, {sqlgen.number(r)} as r, lnl from {last}")
+    steps += [
+        "al as (" + " union all ".join(parts) + ")",
+        f"tops as (select *, max(lnl) over (partition by {CS}) as most from al)",
+        f"best as (select w, round(r, 3) as rate, lnl from tops where lnl >= most - 1e-9 qualify row_number() over (partition by {CS} order by r) = 1)",
+        "sums as (select rate, sum(w) as n, sum(w * lnl) as lnl from best group by rate)",
+        "kept as (select rate as k from sums order by lnl, rate limit 8)",
+        "near as (select n, lnl, k from sums, kept qualify row_number() over (partition by rate order by abs(k - rate), k) = 1)",
+        "grp as (select k as rate, sum(n) as n, sum(lnl) as lnl from near group by k)",
+    ]
+    return with_base(steps, "select cast(row_number() over (order by rate) - 1 as int) as category, round(rate * sum(n) over () / sum(n * rate) over (), 6) as rate, cast(n as bigint) as n, round(lnl, 3) as lnl from grp")
+
+
+@query(_site_rate_sql())
 def site_rates(spark: SparkSession, sf: str) -> DataFrame:
     """One rate per site: the best of a grid, grouped to at most eight categories."""
-    rated = lk.best_rates(patterns(spark, sf), TREE, md.jc69(), [2.0 ** (k / 2) for k in range(-8, 7)])
+    rated = lk.best_rates(patterns(spark, sf), TREE, md.jc69(), _GRID)
     out = lk.rate_categories(rated, 8)
     return out.select("category", F.round("rate", 6).alias("rate"), "n", F.round("lnl", 3).alias("lnl"))
 
 
+@query()
+def site_rates_fitted(spark: SparkSession, sf: str) -> DataFrame:
+    """Rates by line search, grouped, against one rate for all sites."""
+    p = patterns(spark, sf)
+    before = [1.0], lk.loglik_many(p, [(TREE, md.jc69())])[0]
+    rates, lnl, better = lk.optimise_site_rates(p, TREE, md.jc69(), _GRID, 8, 3, before)
+    return spark.createDataFrame([(k, r, lnl, better) for k, r in enumerate(rates)], "category int, rate double, lnl double, better boolean").select("category", F.round("rate", 6).alias("rate"), F.round("lnl", 3).alias("lnl"), "better")
+
+
 @query()
 def newton_branch(spark: SparkSession, sf: str) -> DataFrame:
     p = patterns(spark, sf).cache()
@@ -702,6 +774,26 @@ def spr_search(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(",".join(map(str, best.canonical())), lnl, n)], "topology string, lnl double, moves int").withColumn("lnl", F.round("lnl", 2))
 
 
+@query()
+def rapid_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Subtree moves by rings with a cutoff and a list of starts."""
+    p = patterns(spark, sf).cache()
+    best, lnl, n = search.rapid_search(p, CANDIDATES[2], md.jc69(), 3)
+    p.unpersist()
+    return spark.createDataFrame([(",".join(map(str, best.canonical())), lnl, n)], "topology string, lnl double, moves int").withColumn("lnl", F.round("lnl", 2))
+
+
+@query()
+def ml_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The full search from a parsimony tree: swaps, then subtree moves; the best topologies it met."""
+    p = patterns(spark, sf).cache()
+    start, _ = parsimony.stepwise_addition(p, [str(i) for i in range(1, 8)], seed=1)
+    _, _, best = search.ml_search(p, start, md.jc69(), 3)
+    rows = [(k, *best.recall(k)) for k in range(1, len(best.rows) + 1)]
+    p.unpersist()
+    return spark.createDataFrame([(k, ",".join(map(str, t.canonical())), lnl) for k, t, lnl in rows], "rank int, topology string, lnl double").withColumn("lnl", F.round("lnl", 2))
+
+
 _TBR = search.tbr_moves(TREE, 2)
 
 
@@ -735,3 +827,12 @@ def align_regions(spark: SparkSession, sf: str) -> DataFrame:
     pairs = seqs.groupBy("region").agg(F.expr("transform(array_sort(collect_list(struct(taxon, seq))), x -> x.seq)").alias("seqs")).where("size(seqs) = 2").repartition("region")
     out = statalign.align_regions(pairs, md.jc69(), 0.2, 2.0, (0.3, 0.5), samples=2)
     return out.select("region", F.round("logp", 6).alias("logp"), "best", "sampled")
+
+
+@query()
+def align_all_taxa(spark: SparkSession, sf: str) -> DataFrame:
+    """Regions of sixteen order keys: the sequences of all seven taxa aligned up the tree."""
+    cells = al.canonical_cells(lineitem(spark, sf)).withColumn("region", F.expr("cast(floor(site / 16) as long)"))
+    seqs = cells.groupBy("region", F.col("taxon").cast("string").alias("taxon")).agg(F.expr("array_join(transform(array_sort(collect_list(struct(site, ch))), x -> x.ch), '')").alias("seq"))
+    both = seqs.groupBy("region").agg(F.array_sort(F.collect_list(F.struct("taxon", "seq"))).alias("m")).repartition("region")
+    return statalign.align_trees(both.select("region", F.expr("m.taxon").alias("names"), F.expr("m.seq").alias("seqs")), md.jc69(), 0.2, 2.0, TREE).select("region", F.array_join("rows", "|").alias("rows"))

@@ -36,10 +36,10 @@ def columns_from_cells(cells: DataFrame, taxa: Sequence[int], undetermined: int
     return cells.groupBy("site").agg(*picked).fillna(undetermined)
 
 
-def cells_from_sequences(sequences: DataFrame, alphabet: Alphabet = DNA) -> DataFrame:
-    """(taxon_id, taxon, site, ch, code) from (taxon_id, taxon, seq); sites count from 1, foreign characters get a null code."""
-    rows = sequences.select("taxon_id", "taxon", F.posexplode(F.split("seq", "")).alias("site", "ch")).where("ch <> ''")
-    return rows.select("taxon_id", "taxon", (F.col("site") + 1).alias("site"), "ch", alphabet.encode(F.col("ch")).alias("code"))
+def cells_from_sequences(sequences: DataFrame, alphabet: Alphabet = DNA, by: Sequence[str] = ()) -> DataFrame:
+    """(by, taxon_id, taxon, site, ch, code) from (by, taxon_id, taxon, seq); sites count from 1, foreign characters get a null code."""
+    rows = sequences.select(*by, "taxon_id", "taxon", F.posexplode(F.split("seq", "")).alias("site", "ch")).where("ch <> ''")
+    return rows.select(*by, "taxon_id", "taxon", (F.col("site") + 1).alias("site"), "ch", alphabet.encode(F.col("ch")).alias("code"))
 
 
 def state_columns(columns: DataFrame) -> list[str]:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator, Sequence
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -316,27 +317,60 @@ def corrected_derivatives(patterns: DataFrame, tree: Tree, model: Model, alphabe
     return out
 
 
-def best_rates(patterns: DataFrame, tree: Tree, model: Model, grid: Sequence[float], alphabet: Alphabet = DNA) -> DataFrame:
-    """(states, w, rate, lnl): the best rate of each pattern out of a grid; the smallest wins ties."""
-    kernels = [Kernel(tree, Model(model.freqs, model.rates, (float(r),)), alphabet) for r in sorted(grid)]
+#: Log-likelihoods closer than this count as equal.
+TIE = 1e-9
+
+
+def best_rates(patterns: DataFrame, tree: Tree, model: Model, grid: Sequence[float], alphabet: Alphabet = DNA, halvings: int = 0) -> DataFrame:
+    """(states, w, rate, lnl): the best rate of each pattern out of a grid, the smallest of equal ones (within TIE); then, by as many
+    halvings, a line search from there: the rate times or over a factor that starts at the grid's mean one and whose logarithm is halved."""
     rates = np.array(sorted(grid), float)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kernel_of = cache(lambda rate: Kernel(tree, Model(model.freqs, model.rates, (rate,)), alphabet))
         for batch in batches:
             if batch.num_rows:
-                each = np.stack([k.lnl(_codes(batch)) for k in kernels])
-                best = each.argmax(axis=0)
-                yield batch.append_column("rate", pa.array(rates[best])).append_column("lnl", pa.array(each[best, np.arange(each.shape[1])]))
+                codes = _codes(batch)
+                each = np.stack([kernel_of(float(r)).lnl(codes) for r in rates])
+                best = (each >= each.max(axis=0) - TIE).argmax(axis=0)
+                rate, lnl = rates[best], each[best, np.arange(each.shape[1])]
+                step = np.log(rates[-1] / rates[0]) / max(1, len(rates) - 1)
+                for _ in range(halvings):
+                    step /= 2
+                    start = rate.copy()
+                    for r in np.unique(start):
+                        at = np.flatnonzero(start == r)
+                        for to in (r * np.exp(-step), r * np.exp(step)):
+                            got = kernel_of(round(float(to), 9)).lnl(codes[at])
+                            better = got > lnl[at] + TIE
+                            rate[at[better]], lnl[at[better]] = round(float(to), 9), got[better]
+                yield batch.append_column("rate", pa.array(rate)).append_column("lnl", pa.array(lnl))
 
     rows = as_arrays(patterns).select("states", F.col("w").cast("long").alias("w"))
     return rows.mapInArrow(run, "states array<tinyint>, w long, rate double, lnl double")
 
 
+def optimise_site_rates(patterns: DataFrame, tree: Tree, model: Model, grid: Sequence[float], categories: int = 25, halvings: int = 4, before: tuple[Sequence[float], float] | None = None) -> tuple[list[float], float, bool]:
+    """(rates, lnl, better): a rate for each pattern by line search, grouped to so many categories; each pattern at its category's rate.
+
+    `before` has the rates in use and their log-likelihood; if the new ones are no better, it is given back."""
+    rated = best_rates(patterns, tree, model, grid, halvings=halvings)
+    table = rate_categories(rated, categories).collect()  # a row for each category
+    rates = [float(r.rate) for r in sorted(table, key=lambda r: r.category)]
+    if not rates:
+        return list(before[0]) if before else [], before[1] if before else 0.0, False
+    each = best_rates(patterns, tree, model, rates)
+    lnl = float(each.agg(F.sum(F.col("w") * F.col("lnl"))).first()[0])
+    if before and lnl <= before[1]:
+        return list(before[0]), before[1], False
+    return rates, lnl, True
+
+
 def rate_categories(rated: DataFrame, categories: int = 25) -> DataFrame:
-    """Per-site rates grouped to `categories`: the rates (to 3 digits) with the best summed lnl stay, the others go to the
+    """Per-site rates grouped to `categories`: the rates (to 3 digits) with the lowest summed lnl, which weigh most, stay, the others go to the
     nearest of them; rates are scaled to a weighted mean of 1. (category, rate, n, lnl)."""
     sums = rated.withColumn("rate", F.round("rate", 3)).groupBy("rate").agg(F.sum("w").alias("n"), F.sum(F.expr("w * lnl")).alias("lnl"))
-    top = sums.orderBy(F.desc("lnl"), "rate").limit(categories).agg(F.sort_array(F.collect_list("rate")).alias("kept"))
+    top = sums.orderBy("lnl", "rate").limit(categories).agg(F.sort_array(F.collect_list("rate")).alias("kept"))
     near = sums.withColumn("one", F.lit(1)).join(F.broadcast(top.withColumn("one", F.lit(1))), "one").drop("one")
     near = near.withColumn("rate", F.expr("array_min(transform(kept, k -> struct(abs(k - rate) as d, k as k))).k"))
     grouped = near.groupBy("rate").agg(F.sum("n").alias("n"), F.sum("lnl").alias("lnl"))

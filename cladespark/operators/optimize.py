@@ -150,6 +150,11 @@ def optimise_model(patterns: DataFrame, tree: Tree, model: Model, epsilon: float
     return tree, model, lnl
 
 
+def both_frequencies(models: dict[str, tuple[Model, int]], counted: Sequence[float]) -> dict[str, tuple[Model, int]]:
+    """The models, and each again as `<name>+F` with the counted frequencies, which cost a parameter less than there are states."""
+    return models | {f"{n}+F": (replace(m, freqs=tuple(float(x) for x in counted), _eigen={}), k + m.states - 1) for n, (m, k) in models.items()}
+
+
 def select_model(patterns: DataFrame, tree: Tree, models: dict[str, tuple[Model, int]], n_sites: int, criterion: str = "bic") -> tuple[str, dict[str, dict[str, float]]]:
     """The best of named (model, free parameters) by a criterion (`lnl`, `aic`, `aicc`, `bic`); one job scores them all."""
     lnls = loglik_many(patterns, [(tree, m) for m, _ in models.values()])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Sequence
 from itertools import count
 
@@ -79,13 +80,15 @@ def informative_patterns(patterns: DataFrame, undetermined: int = 15) -> DataFra
     return patterns.where(F.size(F.array_distinct(F.filter(F.array(*cs), lambda x: x < undetermined))) > 1)
 
 
-def stepwise_addition(patterns: DataFrame, names: Sequence[str], order: Sequence[str] | None = None) -> tuple[Tree, int]:
+def stepwise_addition(patterns: DataFrame, names: Sequence[str], order: Sequence[str] | None = None, seed: int | None = None) -> tuple[Tree, int]:
     """A tree by adding taxa one at a time where they cost least; all places of a step are scored in one job.
 
-    Ties go to the first edge. names[i] reads the i-th state column."""
+    Ties go to the first edge. names[i] reads the i-th state column. The order is that of the names, the given one, or drawn by a seed."""
     place = dict(zip(_order(names), state_columns(patterns), strict=True))
     patterns = informative_patterns(patterns).cache()
     order = list(order or _order(names))
+    if seed is not None:
+        random.Random(seed).shuffle(order)
     tree, best = star(order[:3]), 0
     for n in order[3:]:
         tried = [insert_tip(tree, n, e) for e in tree.edges]

@@ -152,6 +152,52 @@ def spr_search(patterns: DataFrame, tree: Tree, model: Model, radius: int = 5, m
     return tree, lnl, applied
 
 
+def rapid_sweep(patterns: DataFrame, tree: Tree, model: Model, lnl: float, radius: int = 5, cutoff: float | None = None, starts: Sequence[tuple[int, int]] | None = None, keep: int = 50) -> tuple[list[Move], list[tuple[int, int]]]:
+    """(moves that gain, best first; the starts of the best `keep` moves). Subtrees go outward one ring of edges at a time, and the
+    rings of all subtrees are scored together. A subtree whose best place in a ring loses more than `cutoff` goes no farther (without
+    one: than the mean loss in the first ring). starts: the (subtree, attachment) pairs that are tried, else all."""
+    going = [s for s in tree.prunable() if starts is None or s in set(starts)]
+    own, best = tree.canonical(), {}
+    for ring in range(1, radius + 1):
+        tried = [Move("spr", (n, a, e), tree.prune_regraft(n, a, e)) for n, a in going for e in tree.regraft_targets(n, a, ring, ring)]
+        same: dict[tuple[int, ...], list[Move]] = {}
+        for m in tried:
+            same.setdefault(m.tree.canonical(), []).append(m)
+        same.pop(own, None)
+        for m in scored(patterns, [ms[0] for ms in same.values()], model):
+            for other in same[m.tree.canonical()]:
+                other.lnl = m.lnl
+        top: dict[tuple[int, int], Move] = {}
+        for m in sorted((m for ms in same.values() for m in ms), key=lambda m: (-m.lnl, m.place)):
+            top.setdefault(m.place[:2], m)
+        for s, m in top.items():
+            if s not in best or m.lnl > best[s].lnl:
+                best[s] = m
+        losses = [lnl - m.lnl for m in top.values() if m.lnl < lnl]
+        if cutoff is None:
+            cutoff = sum(losses) / len(losses) if losses else 0.0
+        going = [s for s in going if s in top and lnl - top[s].lnl <= cutoff]
+    ranked = sorted(best.values(), key=lambda m: (-m.lnl, m.place))
+    return [m for m in ranked if m.lnl > lnl], [m.place[:2] for m in ranked[:keep]]
+
+
+def rapid_search(patterns: DataFrame, tree: Tree, model: Model, radius: int = 5, keep: int = 50, thorough: int = 3, epsilon: float = 0.1) -> tuple[Tree, float, int]:
+    """Rapid sweeps until one over all subtrees gains nothing. After a sweep over all, the next ones try only the starts of its best moves,
+    as long as they gain; the lengths of the best `thorough` trees of a sweep are refitted."""
+    tree, lnl = newton_lengths(patterns, tree, model, epsilon)
+    applied, starts = 0, None
+    while True:
+        moves, best = rapid_sweep(patterns, tree, model, lnl, radius, None, starts, keep)
+        fits = [newton_lengths(patterns, m.tree, model, epsilon) for m in moves[:thorough]]
+        if fits and max(f[1] for f in fits) > lnl + epsilon:
+            tree, lnl = max(fits, key=lambda f: f[1])
+            applied, starts = applied + 1, best
+        elif starts is None:
+            return tree, lnl, applied
+        else:
+            starts = None
+
+
 def choose_radius(patterns: DataFrame, tree: Tree, model: Model, step: int = 5, most: int = 25) -> int:
     """5, 10, ... while the best move of a larger radius improves on the smaller one's."""
     best, radius = float("-inf"), step

@@ -118,6 +118,17 @@ def tn93(freqs: Sequence[float], purine: float, pyrimidine: float) -> Model:
     return Model(tuple(freqs), (1.0, purine, 1.0, 1.0, pyrimidine, 1.0), name="TN93")
 
 
+def named(name: str, freqs: Sequence[float], numbers: Sequence[float]) -> Model:
+    """The nucleotide model of a parameter text: F84 (kappa), TN93 (purines, pyrimidines) or GTR (six rates)."""
+    if name == "F84":
+        return f84(freqs, *numbers)
+    if name == "TN93":
+        return tn93(freqs, *numbers)
+    if name != "GTR":
+        raise ValueError(f"unknown model {name!r}")
+    return Model(tuple(freqs), tuple(float(x) for x in numbers))
+
+
 def mixture(parts: Sequence[Model], site_rates: Sequence[float], weights: Sequence[float] | None = None) -> Model:
     """One matrix per rate category (four in the published mixtures); weights free or equal."""
     w = tuple(weights) if weights else (1 / len(parts),) * len(parts)

@@ -206,6 +206,18 @@ class Tree:
         return done[self.root] + ";"
 
 
+def mean_lengths(trees: Sequence[Tree], shares: Sequence[float]) -> Tree:
+    """One topology with lengths of its own for each gene: the mean of each length, weighted by the genes' shares."""
+    if len(trees) != len(shares) or any(t.edges != trees[0].edges for t in trees):
+        raise ValueError("one share for each gene, and the same edges in all, are expected")
+    return trees[0].with_lengths({e: sum(t.length[e] * s for t, s in zip(trees, shares, strict=True)) / sum(shares) for e in trees[0].edges})
+
+
+def newick_per_gene(trees: Sequence[Tree], names: Sequence[str], **switches) -> str:
+    """A line `[name] tree` for each gene."""
+    return "".join(f"[{n}] {t.newick(**switches)}\n" for n, t in zip(names, trees, strict=True))
+
+
 def newick_nodes(text: str) -> list[tuple[int, int, int, str, float | None, bool, int]]:
     """(node, parent, depth, label, length, is_leaf, children) in order of opening; the root's parent is -1.
 

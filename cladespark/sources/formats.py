@@ -135,3 +135,41 @@ def paired_sites(text: str) -> list[tuple[int, int]]:
     if any(stacks.values()):
         raise ValueError("brackets are left open")
     return sorted(out)
+
+
+#: The numbers that follow the name of a substitution model in a parameter text.
+MODEL_NUMBERS = {"F84": 1, "TN93": 2, "GTR": 6}
+
+
+def parse_parameters(text: str) -> dict:
+    """The settings of the statistical aligner from a text of words: the frequencies of A, C, G, T, the rate of insertions, the mean
+    fragment length, the length of simulated sequences, the length of resampled pieces, the kind of output (ML, MS or MP), the model
+    (F84, TN93 or GTR) and its numbers."""
+    words = text.split()
+    if len(words) < 10:
+        raise ValueError("ten settings are expected")
+    freqs, (rate, fragment) = [float(x) for x in words[:4]], [float(x) for x in words[4:6]]
+    sample, piece, output, model = int(words[6]), int(words[7]), words[8].upper(), words[9].upper()
+    if model not in MODEL_NUMBERS:
+        raise ValueError(f"unknown model {words[9]!r}")
+    numbers = [float(x) for x in words[10 : 10 + MODEL_NUMBERS[model]]]
+    problems = {
+        "frequencies must be above 0 and add up to 1": min(freqs) <= 0 or abs(sum(freqs) - 1) > 1e-6,
+        "the rate must be above 0": rate <= 0,
+        "fragments are at least 1 long": fragment < 1,
+        "lengths must be above 0": sample < 1 or piece < 1,
+        "the output is ML, MS or MP": output not in ("ML", "MS", "MP"),
+        f"{model} needs {MODEL_NUMBERS[model]} numbers, none below 0": len(numbers) < MODEL_NUMBERS[model] or min(numbers) < 0,
+    }
+    found = [k for k, bad in problems.items() if bad]
+    if found:
+        raise ValueError("; ".join(found))
+    return {"freqs": tuple(freqs), "rate": rate, "fragment": fragment, "sample": sample, "piece": piece, "output": output, "model": model, "numbers": tuple(numbers)}
+
+
+def parse_leaves(text: str) -> list[tuple[str, float]]:
+    """(name, length) of each `name:length`, the leaves of a star, with or without brackets round them."""
+    found = re.findall(r"([^\s(),:;]+)\s*:\s*([0-9.eE+-]+)", text)
+    if not found or len({n for n, _ in found}) < len(found):
+        raise ValueError("leaves as name:length, each once, are expected")
+    return [(n, float(t)) for n, t in found]

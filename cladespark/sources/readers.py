@@ -6,8 +6,14 @@ df.write, through Python data sources over local paths.
 
 from __future__ import annotations
 
+import heapq
+import json
 import os
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
+from contextlib import ExitStack
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +65,27 @@ def write_alignment(sequences: DataFrame, path: str, kind: str) -> None:
     lines.coalesce(1).write.mode("overwrite").text(path)
 
 
+def write_blocks(sequences: DataFrame, path: str, kind: str) -> None:
+    """One file for each block of an alignment, from (block, taxon_id, taxon, seq) with the block's sequences, so that no task holds
+    more than a block; read_alignment reads the folder."""
+    rows = sequences.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("taxon_id", "taxon", "seq"))).alias("rows"))  # a row for each taxon
+    if kind == "fasta":
+        text = F.expr("array_join(transform(rows, r -> concat('>', r.taxon, '\n', r.seq)), '\n')")
+    else:
+        text = F.expr("concat(size(rows), ' ', length(rows[0].seq), '\n', array_join(transform(rows, r -> concat(r.taxon, ' ', r.seq)), '\n'))")
+    rows.select("block", text.alias("value")).write.mode("overwrite").partitionBy("block").text(path)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: below spark.checkpoint.dir, else, on a cluster, below the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        base = spark.conf.get("spark.sql.warehouse.dir")
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="cladespark-")
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 class _Files(DataSourceReader):
     def __init__(self, path: str, parse: Callable[[str], list[tuple]]):
         self.path, self.parse = path, parse
@@ -72,21 +99,46 @@ class _Files(DataSourceReader):
             yield from self.parse(f.read())
 
 
+@dataclass
+class _Part(WriterCommitMessage):
+    """A file of one task's rows in order, and how many rows and characters there are."""
+
+    file: str
+    rows: int
+    width: int
+
+
 class _Writer(DataSourceWriter):
-    def __init__(self, path: str, write: Callable):
-        self.path, self.format = path, write
+    """Tasks write their rows to hidden files; the commit merges them, a row of each at a time, to one alignment."""
 
-    def write(self, iterator: Iterator) -> WriterCommitMessage:
-        from pyspark import TaskContext
+    def __init__(self, path: str, head: Callable[[int, int], str], line: Callable[[str, str], str]):
+        self.path, self.head, self.line = path, head, line
 
+    def write(self, iterator: Iterator) -> WriterCommitMessage:
         rows = sorted((r["taxon_id"], r["taxon"], r["seq"]) for r in iterator)
-        if rows:
-            os.makedirs(self.path, exist_ok=True)
-            part = TaskContext.get().partitionId()
-            with open(os.path.join(self.path, f".{part}.tmp"), "w") as f:
-                f.write(self.format([(n, s) for _, n, s in rows]))
-            os.replace(os.path.join(self.path, f".{part}.tmp"), os.path.join(self.path, f"part-{part:05d}"))
-        return WriterCommitMessage()
+        os.makedirs(self.path, exist_ok=True)
+        file = os.path.join(self.path, f".{uuid.uuid4().hex}.tmp")
+        with open(file, "w") as f:
+            f.writelines(json.dumps(r) + "\n" for r in rows)
+        return _Part(file, len(rows), max((len(r[2]) for r in rows), default=0))
+
+    def commit(self, messages: list) -> None:
+        parts = [m for m in messages if m is not None]
+        name = uuid.uuid4().hex
+        with ExitStack() as files, open(os.path.join(self.path, f".{name}.tmp"), "w") as out:
+            out.write(self.head(sum(m.rows for m in parts), max((m.width for m in parts), default=0)))
+            each = [map(json.loads, files.enter_context(open(m.file))) for m in parts]
+            out.writelines(self.line(n, s) for _, n, s in heapq.merge(*each))
+        if any(m.rows for m in parts):
+            os.replace(os.path.join(self.path, f".{name}.tmp"), os.path.join(self.path, f"alignment-{name}"))
+        else:
+            os.remove(os.path.join(self.path, f".{name}.tmp"))
+        self.abort(parts)
+
+    def abort(self, messages: list) -> None:
+        for m in messages:
+            if m is not None and os.path.exists(m.file):
+                os.remove(m.file)
 
 
 class PhylipSource(DataSource):
@@ -101,7 +153,7 @@ class PhylipSource(DataSource):
         return _Files(self.options["path"], formats.parse_phylip)
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return _Writer(self.options["path"], formats.write_phylip)
+        return _Writer(self.options["path"], lambda n, width: f"{n} {width}\n", lambda name, seq: f"{name} {seq}\n")
 
 
 class FastaSource(PhylipSource):
@@ -113,7 +165,7 @@ class FastaSource(PhylipSource):
         return _Files(self.options["path"], formats.parse_fasta)
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return _Writer(self.options["path"], formats.write_fasta)
+        return _Writer(self.options["path"], lambda n, width: "", lambda name, seq: f">{name}\n{seq}\n")
 
 
 class NewickSource(DataSource):

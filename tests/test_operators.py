@@ -358,3 +358,107 @@ def test_streaming_patterns(spark, columns, tmp_path):
     q.stop()
     got = spark.table("running")
     assert got.exceptAll(al.compress(columns)).count() == 0 and got.agg(F.sum("w")).first()[0] == 60
+
+
+def every_path(seqs):
+    """All sequences of steps that use up the sequences."""
+    kinds = [k for k in itertools.product((0, 1), repeat=len(seqs)) if any(k)]
+
+    def go(at):
+        if all(a == len(s) for a, s in zip(at, seqs, strict=True)):
+            yield []
+        for k in kinds:
+            after = tuple(a + d for a, d in zip(at, k, strict=True))
+            if all(a <= len(s) for a, s in zip(after, seqs, strict=True)):
+                for rest in go(after):
+                    yield [k, *rest]
+
+    return list(go((0,) * len(seqs)))
+
+
+def test_lattice_of_given_alignments_and_homologies():
+    a = statalign.StarAligner(md.jc69(), 0.3, 2.0, (0.4, 0.6))
+    seqs = ("ACG", "AG")
+    total, _ = a.forward(seqs)
+    each = {}
+    for path in every_path(seqs):
+        rows = a.rows(seqs, path)
+        assert statalign.steps_of(rows) == path
+        each[tuple(rows)] = a.forward(seqs, statalign.in_alignment(rows))[0]
+    assert len(each) > 20 and math.isclose(sum(each.values()), total, rel_tol=1e-9)
+    fixed = sum(p for rows, p in each.items() if (2, 1) in statalign.homologies(rows))
+    got, lattice = a.forward(seqs, statalign.with_homologies([(0, 2, 1, 1)]))
+    assert math.isclose(got, fixed, rel_tol=1e-9) and 0 < fixed < total
+    assert (2, 1) in statalign.homologies(a.rows(seqs, a.trace(lattice, random.Random(4))))
+
+
+def test_drawn_histories_follow_their_probabilities():
+    a = statalign.StarAligner(md.jc69(), 0.3, 2.0, (0.4, 0.6))
+    seqs, rng, n = ("AC", "A"), random.Random(8), 4000
+    total, lattice = a.forward(seqs)
+    seen = {}
+    for _ in range(n):
+        rows = tuple(a.rows(seqs, a.trace(lattice, rng)))
+        seen[rows] = seen.get(rows, 0) + 1
+    for rows, k in seen.items():
+        p = a.forward(seqs, statalign.in_alignment(rows))[0] / total
+        assert abs(k / n - p) < 5 * math.sqrt(p * (1 - p) / n) + 1e-3
+
+
+def test_lattice_of_tables():
+    a = statalign.StarAligner(md.jc69(), 0.3, 2.0, (0.4, 0.6))
+    table = a.table("ACG")
+    table[1] = (1, 1, 0, 0)
+    assert math.isclose(a.forward((table, "AG"))[0], a.forward(("AAG", "AG"))[0] + a.forward(("ACG", "AG"))[0], rel_tol=1e-9)
+    assert math.isclose(a.forward((a.table("ACG"), "AG"))[0], a.forward(("ACG", "AG"))[0], rel_tol=1e-12)
+
+
+def test_progressive_start(spark):
+    quartet = tr.parse("((a:0.05,b:0.05):0.05,(c:0.05,d:0.05):0.05);")
+    same = dict.fromkeys("abcd", "ACGTTGCA")
+    assert statalign.progressive(md.jc69(), 0.05, 3.0, quartet, same) == same
+    seqs = {"a": "ACGTTGCAAC", "b": "ACGTTGCAAC", "c": "ACGTGCAAC", "d": ""}
+    rows = statalign.progressive(md.jc69(), 0.1, 2.0, quartet, seqs)
+    assert {n: r.replace("-", "") for n, r in rows.items()} == seqs and len({len(r) for r in rows.values()}) == 1
+    df = spark.createDataFrame([(1, ["a", "b", "c"], ["ACGTTGCAAC", "ACGTTGCAAC", "ACGTGCAAC"])], "region long, names array<string>, seqs array<string>")
+    assert statalign.align_trees(df, md.jc69(), 0.1, 2.0, quartet).first().rows == [rows[n] for n in "abcd"]
+
+
+def test_line_search_of_rates(patterns):
+    grid = [2.0 ** (k / 2) for k in range(-8, 7)]
+    coarse = lk.best_rates(patterns, TREE, md.jc69(), grid)
+    fine = lk.best_rates(patterns, TREE, md.jc69(), grid, halvings=4)
+    a, b = ({tuple(r.states): r for r in d.collect()} for d in (coarse, fine))
+    assert a.keys() == b.keys() and all(b[k].lnl >= a[k].lnl for k in a) and any(b[k].lnl > a[k].lnl + 1e-6 for k in a)
+    for r in list(b.values())[:10]:
+        assert math.isclose(lk.Kernel(TREE, md.jc69((r.rate,))).lnl(np.array([r.states]))[0], r.lnl, abs_tol=1e-6)
+    one = lk.loglik_many(patterns, [(TREE, md.jc69())])[0]
+    rates, lnl, better = lk.optimise_site_rates(patterns, TREE, md.jc69(), grid, 4, 3, ([1.0], one))
+    assert better and lnl > one and 1 <= len(rates) <= 4
+    assert lk.optimise_site_rates(patterns, TREE, md.jc69(), grid, 1, 0, ([0.5], lnl + 1)) == ([0.5], lnl + 1, False)
+
+
+def test_kept_rates_weigh_most(spark):
+    rows = [(1, 1.0, -5.0), (100, 2.0, -6.0), (90, 8.0, -7.0)]
+    got = lk.rate_categories(spark.createDataFrame(rows, "w long, rate double, lnl double"), 2).collect()
+    assert [r.n for r in got] == [101, 90]
+
+
+def test_rapid_search(patterns):
+    start = tr.random_tree([str(i) for i in range(1, 8)], 19)
+    fitted, lnl, n = search.rapid_search(patterns, start, md.jc69(), 3)
+    first = optimize.newton_lengths(patterns, start, md.jc69(), 0.1)
+    assert lnl >= first[1] and (n > 0) == (lnl > first[1])
+    moves, starts = search.rapid_sweep(patterns, *first[:1], md.jc69(), first[1], 9, math.inf)
+    every = search.scored(patterns, search.spr_moves(first[0], 1, 9), md.jc69())
+    if every[0].lnl > first[1]:
+        assert math.isclose(moves[0].lnl, every[0].lnl, abs_tol=1e-6)
+    assert len(starts) == len(set(starts)) <= 50
+
+
+def test_models_with_both_frequencies_and_random_orders(patterns):
+    both = optimize.both_frequencies({"JC": (md.jc69(), 0)}, (0.1, 0.2, 0.3, 0.4))
+    assert list(both) == ["JC", "JC+F"] and both["JC+F"][1] == 3 and both["JC+F"][0].freqs == (0.1, 0.2, 0.3, 0.4)
+    names = [str(i) for i in range(1, 8)]
+    a, b = (parsimony.stepwise_addition(patterns, names, seed=3) for _ in range(2))
+    assert a[0].canonical() == b[0].canonical() and a[1] == b[1] and sorted(a[0].tip) == names

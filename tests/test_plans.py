@@ -120,3 +120,16 @@ def test_mixture_search_keeps_the_mean(monkeypatch):
     monkeypatch.setattr(optimize, "loglik_many", lambda patterns, pairs: [seen.append(x) or -abs(x.weights[0] - 0.4) for _, x in pairs])
     best, lnl = optimize.optimise_mixture(None, None, m)
     assert lnl >= -0.15 and all(math.isclose(sum(x.weights), 1) and math.isclose(sum(w * r for w, r in zip(x.weights, x.site_rates)), 1) for x in seen[1:])
+
+
+def test_lengths_of_genes_and_named_models():
+    a = tr.random_tree([str(i) for i in range(6)], 1)
+    b = a.with_lengths({e: 3 * a.length[e] for e in a.edges})
+    mean = tr.mean_lengths([a, b], [0.75, 0.25])
+    assert all(abs(mean.length[e] - 1.5 * a.length[e]) < 1e-12 for e in a.edges)
+    lines = tr.newick_per_gene([a, b], ["x", "y"]).splitlines()
+    assert [x[:4] for x in lines] == ["[x] ", "[y] "] and tr.parse(lines[1]).robinson_foulds(tr.renumber(a)) == 0
+    with pytest.raises(ValueError):
+        tr.mean_lengths([a, tr.random_tree([str(i) for i in range(6)], 9)], [0.5, 0.5])
+    f = (0.1, 0.2, 0.3, 0.4)
+    assert md.named("F84", f, [2.0]) == md.f84(f, 2.0) and md.named("TN93", f, [2.0, 3.0]) == md.tn93(f, 2.0, 3.0) and md.named("GTR", f, range(1, 7)).rates == (1, 2, 3, 4, 5, 6)

@@ -44,7 +44,7 @@ def test_files_round_trip(spark, tmp_path, kind):
     got = readers.read_alignment(spark, str(tmp_path / "w"), kind).select("taxon_id", "taxon", "seq").orderBy("taxon_id")
     assert [tuple(r) for r in got.collect()] == SEQ
     readers.register(spark)
-    df.coalesce(1).write.format(kind).mode("append").save(str(tmp_path / "d"))
+    df.repartition(3).write.format(kind).mode("append").save(str(tmp_path / "d"))
     assert [tuple(r) for r in spark.read.format(kind).load(str(tmp_path / "d")).orderBy("taxon_id").collect()] == SEQ
 
 
@@ -53,3 +53,23 @@ def test_tree_and_partition_files(spark, tmp_path):
     assert [r.newick for r in readers.read_trees(spark, str(tmp_path / "t.nwk")).orderBy("pos").collect()] == ["(a,b, (c,d));", "(a,c,(b,d));"]
     (tmp_path / "p.txt").write_text("DNA, x = 1-10/2\n")
     assert readers.read_partitions(spark, str(tmp_path / "p.txt")).first().regions[0].stride == 2
+
+
+def test_parameters_and_leaves():
+    got = formats.parse_parameters("0.1 0.2 0.3 0.4\n0.05 3\n100 20 ms TN93\n1.5 2")
+    assert got["freqs"] == (0.1, 0.2, 0.3, 0.4) and got["output"] == "MS" and got["numbers"] == (1.5, 2.0) and (got["sample"], got["piece"]) == (100, 20)
+    for bad in ("", "0.1 0.2 0.3 0.5 0.05 3 100 20 ML F84 1", "0.1 0.2 0.3 0.4 0.05 3 100 20 ML GTR 1 2", "0.1 0.2 0.3 0.4 0.05 3 100 20 XX F84 1", "0.1 0.2 0.3 0.4 0.05 3 100 20 ML HKY 1"):
+        with pytest.raises(ValueError):
+            formats.parse_parameters(bad)
+    assert formats.parse_leaves("(a:0.1,b:0.25);") == [("a", 0.1), ("b", 0.25)]
+    with pytest.raises(ValueError):
+        formats.parse_leaves("(a,b)")
+
+
+@pytest.mark.parametrize("kind", ["phylip", "fasta"])
+def test_blocks_go_to_files_of_their_own(spark, tmp_path, kind):
+    rows = [(b, i, n, s[b * 3 : b * 3 + 3]) for b in range(2) for i, n, s in SEQ]
+    readers.write_blocks(spark.createDataFrame(rows, "block int, taxon_id int, taxon string, seq string"), str(tmp_path / "b"), kind)
+    got = readers.read_alignment(spark, str(tmp_path / "b"), kind).collect()
+    assert len({r.file for r in got}) == 2
+    assert sorted((r.file.split("block=")[1][0], r.taxon_id, r.taxon, r.seq) for r in got) == sorted((str(b), i, n, s) for b, i, n, s in rows)

@@ -1,10 +1,13 @@
 """Token ids in binary files: frequency-ranked ids in a byte-aligned variable-length coding with separate control bytes.
 
-A file holds segments, each a run of whole documents in ascending id order. A segment lists its distinct token ids
-by falling frequency; a token is the rank of its id in that list, in one to four bytes, so the 256 most frequent
-ids take one byte. The lengths lie apart, four to a control byte. Decoding is numpy alone: a table turns each
+Files hold segments, each a run of whole documents in ascending id order. One list for all of them has the token ids by falling
+frequency over all documents; a token is the rank of its id in that list, in one to four bytes, so the 256 most
+frequent ids take one byte. The lengths lie apart, four to a control byte. Decoding is numpy alone: a table turns each
 control byte into four lengths, their running sum gives the places, and the list turns ranks into ids.
 
+Texts are encoded once: their ids are written as they are (two bytes each, four for vocabularies above 65,536), counted, and
+written anew as ranks; the first files are then deleted. Counts, list and ranks are as long as the vocabulary, whatever the input.
+
 Documents are dealt by ranges of (id, hash of the text), into as many buckets as the bytes need, so a hot id is split. Segments
 lie in Parquet rows: the writer's commit makes a file whole or absent when an executor is lost, any store can hold them, and
 the global start of a document comes from the totals of the buckets (one number each).
@@ -26,7 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, parts_for, text_slices
+from . import packed
+from .common import SLICE_BYTES, drop_kept, keep, parts_for, text_slices
 from .wordcache import Memory, distinct, gather, per_text
 
 #: A segment is closed when it has as many ids or documents; a longer document is a segment of its own.
@@ -64,15 +68,13 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def ranked(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct ids by falling frequency (ties: the smaller first), and each id's place in that list."""
-    n = int(ids.max()) + 1 if len(ids) else 0
-    count = np.bincount(ids, minlength=n)
+def ranking(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids that occur by falling count (ties: the smaller first), and the place of every id in that list."""
     listed = np.flatnonzero(count)
     listed = listed[np.argsort(-count[listed], kind="stable")]
-    place = np.zeros(n, np.uint32)
+    place = np.zeros(len(count), np.uint32)
     place[listed] = np.arange(len(listed))
-    return listed.astype("<u4"), place[ids]
+    return listed.astype("<u4"), place
 
 
 def _byte_letters() -> dict[int, str]:
@@ -121,8 +123,8 @@ class WordTokens:
         self.merges.pre_tokenizer = WhitespaceSplit()
         self.letters = _byte_letters()
         suffix = said["model"]["end_of_word_suffix"]
-        size = self.whole.get_vocab_size()
-        self.last = np.zeros(size, bool)
+        self.size = self.whole.get_vocab_size()
+        self.last = np.zeros(self.size, bool)
         self.last[[i for t, i in said["model"]["vocab"].items() if t.endswith(suffix)]] = True
         self.kind, self.lower = np.full(LIMIT + 1, HARD, np.uint8), np.zeros(LIMIT + 1, np.uint32)
         plain = re.compile("[!-&(-~¡-¬®-ɏ]").fullmatch  # no control characters, no-break space, apostrophe or soft hyphen
@@ -215,9 +217,9 @@ def encode_texts(path: str, end_id: int, raw: np.ndarray, at: np.ndarray) -> tup
     return np.insert(ids, np.cumsum(n), end_id), n + 1
 
 
-def _segments(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
-    names = ["bucket", "segment", "first_start", "n_ids", "doc_ids", "n_tokens", "ranks", "control", "data"]
+def _segments(path: str, end_id: int, kind: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+    names = ["bucket", "segment", "first_start", "n_ids", "doc_ids", "n_tokens", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, segment, start, waiting = TaskContext.get().partitionId(), 0, 0, 0
@@ -231,11 +233,10 @@ def _segments(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], It
                 lo = 0
                 while lo < len(n):
                     hi = min(len(n), lo + SEGMENT_DOCS, max(lo + 1, int(np.searchsorted(cuts, cuts[lo] + SEGMENT_IDS, "right")) - 1))
-                    listed, places = ranked(ids[cuts[lo] : cuts[hi]])
-                    control, data = pack(places)
-                    row = [[bucket], [segment], [start], [len(places)], [docs[lo:hi]], [n[lo:hi].tolist()], [listed.tobytes()], [control], [data]]
+                    part = ids[cuts[lo] : cuts[hi]]
+                    row = [[bucket], [segment], [start], [len(part)], [docs[lo:hi]], [n[lo:hi].tolist()], [part.astype(kind).tobytes()]]
                     yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], names)
-                    start, segment, lo = start + len(places), segment + 1, hi
+                    start, segment, lo = start + len(part), segment + 1, hi
                 held, waiting = [], 0
 
         for batch in batches:
@@ -250,37 +251,77 @@ def _segments(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], It
     return run
 
 
-SCHEMA = "bucket int, segment int, first_start long, n_ids long, doc_ids array<long>, n_tokens array<long>, ranks binary, control binary, data binary"
+def _counted(size: int, kind: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = packed.zeros(1, size)
+        for batch in batches:
+            for ids in batch.column("ids"):
+                total[0] += np.bincount(np.frombuffer(ids.as_buffer(), kind), minlength=total.shape[1])
+        yield from packed.packed(total)
+
+    return run
+
+
+def _coded(place: np.ndarray, kind: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                one = batch.slice(row, 1)
+                control, data = pack(place[np.frombuffer(one.column("ids")[0].as_buffer(), kind)])
+                columns = [*one.columns[:-1], pa.array([control], pa.binary()), pa.array([data], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, [*one.schema.names[:-1], "control", "data"])
+
+    return run
+
+
+SCHEMA = "bucket int, segment int, first_start long, n_ids long, doc_ids array<long>, n_tokens array<long>"
+CODED = f"{SCHEMA}, control binary, data binary"
 
 
 def write_tokens(documents: DataFrame, tokenizer_path: str, out: str, end_id: int = 2) -> str:
-    """Write the ids of all documents below `out`, a folder that all executors share; returns `out`."""
+    """Write the ids of all documents below `out`, a folder that all executors share; returns `out`. The list of ids lies in
+    `out`/ranks, the segments in `out`/segments."""
+    spark = documents.sparkSession
+    size = max(_tokens(tokenizer_path).size, end_id + 1)
+    kind = "<u2" if size <= 1 << 16 else "<u4"
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
     # a bucket is a range, lies whole in one partition and is one file; the range bounds are sampled, so no bucket is far above its share
     order = [F.col("doc_id").asc_nulls_first(), F.col("tie").asc()]
     dealt = docs.repartitionByRange(parts_for(docs), *order).sortWithinPartitions(*order).select("doc_id", "text")
-    dealt.mapInArrow(_segments(tokenizer_path, end_id), SCHEMA).write.parquet(out)
+    plain = keep(dealt.mapInArrow(_segments(tokenizer_path, end_id, kind), f"{SCHEMA}, ids binary"))
+    # as many rows of counts as the cluster has cores, a few times over, however many files there are
+    counted = plain.select("ids").coalesce(4 * spark.sparkContext.defaultParallelism).mapInArrow(_counted(size, kind), packed.COUNTS)
+    listed, place = ranking(packed.added(counted, 1, size)[0])
+    spark.createDataFrame([(bytearray(listed.tobytes()),)], "ranks binary").coalesce(1).write.parquet(f"{out}/ranks")
+    sent = spark.sparkContext.broadcast(place)
+    plain.mapInArrow(lambda batches: _coded(sent.value, kind)(batches), CODED).write.parquet(f"{out}/segments")
+    drop_kept(plain)
     return out
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in range(batch.num_rows):
-            one = {k: batch.column(k)[row].as_py() for k in batch.schema.names}
-            ids = np.frombuffer(one["ranks"], "<u4")[unpack(one["control"], one["data"], one["n_ids"])]
-            n = np.array(one["n_tokens"], np.int64)
-            ends = np.cumsum(n)
-            data = ids.astype("<u4").tobytes()
-            cut = [data[4 * a : 4 * b] for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True)]
-            columns = [pa.array([one["bucket"]] * len(n), pa.int32()), pa.array(one["doc_ids"], pa.int64()), pa.array(one["first_start"] + ends - n), pa.array(n), pa.array(cut, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["bucket", "doc_id", "within", "n_tokens", "ids"])
+def _read(listed: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                one = {k: batch.column(k)[row].as_py() for k in batch.schema.names}
+                ids = listed[unpack(one["control"], one["data"], one["n_ids"])]
+                n = np.array(one["n_tokens"], np.int64)
+                ends = np.cumsum(n)
+                data = ids.astype("<u4").tobytes()
+                cut = [data[4 * a : 4 * b] for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True)]
+                columns = [pa.array([one["bucket"]] * len(n), pa.int32()), pa.array(one["doc_ids"], pa.int64()), pa.array(one["first_start"] + ends - n), pa.array(n), pa.array(cut, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["bucket", "doc_id", "within", "n_tokens", "ids"])
+
+    return run
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before), n_tokens, ids (little-endian unsigned 32-bit numbers)."""
-    files = spark.read.schema(SCHEMA).parquet(path)
+    files = spark.read.schema(CODED).parquet(f"{path}/segments")
+    row = spark.read.schema("ranks binary").parquet(f"{path}/ranks").first()  # one list, at most as long as the vocabulary
+    sent = spark.sparkContext.broadcast(np.frombuffer(row.ranks, "<u4"))
     totals = files.groupBy("bucket").agg(F.sum("n_ids").alias("n"))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each bucket
     bases = totals.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    rows = files.mapInArrow(_read, "bucket int, doc_id long, within long, n_tokens long, ids binary")
+    rows = files.mapInArrow(lambda batches: _read(sent.value)(batches), "bucket int, doc_id long, within long, n_tokens long, ids binary")
     return rows.join(F.broadcast(bases), "bucket").select("doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids")

@@ -456,8 +456,9 @@ def test_packing_round_trip():
     for n in (0, 1, 4, 5, 1000):
         v = (rng.integers(0, 1 << 32, n) >> rng.integers(0, 32, n)).astype(np.uint32)
         assert (token_files.unpack(*token_files.pack(v), n) == v).all()
-    listed, places = token_files.ranked(np.array([7, 7, 3, 9, 9, 9, 3]))
-    assert listed.tolist() == [9, 3, 7] and listed[places].tolist() == [7, 7, 3, 9, 9, 9, 3]
+    ids = np.array([7, 7, 3, 9, 9, 9, 3])
+    listed, place = token_files.ranking(np.bincount(ids, minlength=12))
+    assert listed.tolist() == [9, 3, 7] and listed[place[ids]].tolist() == ids.tolist()
 
 
 def test_token_files(spark, monkeypatch):
@@ -468,7 +469,11 @@ def test_token_files(spark, monkeypatch):
     extra = ["İstanbul ΣΑΣ ς ﬁ", "a b c\x85d\x1ce", "<|startoftext|>x<|endoftext|>", "é vs é", "it's don't 12,5 … ½ ²", "Ǆ ǅ ſ µ ŉ"]
     rows = corpus(7, 40) + [(500 + i, t) for i, t in enumerate(extra + odd_texts(11, 60))]
     monkeypatch.setattr(token_files, "SEGMENT_IDS", 400)
-    got = token_files.read_tokens(spark, token_files.write_tokens(frame(spark, rows), path, shared_dir(spark))).collect()
+    out = token_files.write_tokens(frame(spark, rows), path, shared_dir(spark))
+    got = token_files.read_tokens(spark, out).collect()
+    count = np.bincount(np.concatenate([np.frombuffer(r.ids, "<u4") for r in got]))
+    listed = np.frombuffer(spark.read.parquet(f"{out}/ranks").first().ranks, "<u4").tolist()
+    assert listed == sorted(np.flatnonzero(count).tolist(), key=lambda i: (-count[i], i))  # by frequency over all documents
     order = sorted(got, key=lambda r: r.start)
     assert [r.start for r in order] == [0, *np.cumsum([r.n_tokens for r in order])[:-1].tolist()]
     ids = [r.doc_id for r in order]

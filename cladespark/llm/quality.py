@@ -1,12 +1,13 @@
 """Quality rules: a hashed n-gram log-likelihood ratio between a trusted target and the raw corpus.
 
 Words and word pairs are hashed into buckets. Two multinomials over the buckets are counted: one over every
-document (the raw corpus), one over a bounded sample of documents labelled good (the target). A document's score is
-the mean over its n-grams of log p_target - log p_raw, so it doesn't depend on length. The threshold is fixed from the
-labelled sample alone and then holds for every document.
+document (the raw corpus), one over every document labelled good (the target). A document's score is
+the mean over its n-grams of log p_target - log p_raw, so it doesn't depend on length. The threshold is fixed from all
+labelled documents and then holds for every document.
 
-What comes to the driver is bounded by the number of buckets and by the label sample, never by the corpus: a task adds up its
-counts and emits them as a few packed rows (at most 1 MB), which are added up in two levels.
+What comes to the driver is bounded by the number of buckets, never by the corpus or its labels: a task adds up its
+counts and emits them as a few packed rows (at most 1 MB), which are added up in two levels; the threshold's rank is found
+by counts of 16 bits of the scores at a time. Labels meet texts by a merge join, which deals the texts by id once; nothing that grows with the labels is broadcast.
 
 Defined results: a null or empty text has no words and fails the base rules; an empty table gives no rows; a long text is counted
 and scored whole, in blocks; without good labels, or without labels of poor documents, only the base rules decide; labels with a null id are ignored, and of several labels for one id the
@@ -26,9 +27,9 @@ from . import packed
 from . import wordhash as wh
 from .common import keep, text_slices
 
-#: Bits of the bucket number; rows of each label class that the target and the threshold are fitted on.
-BUCKET_BITS, SAMPLE_ROWS = 16, 20_000
-#: Share of the good sample that the threshold may reject.
+#: Bits of the bucket number.
+BUCKET_BITS = 16
+#: Share of the good labelled documents that the threshold may reject.
 REJECT_GOOD = 0.0005
 MIN_WORDS, REPEAT_WINDOW, MAX_REPEAT_PERCENT = 20, 8, 30
 
@@ -46,19 +47,20 @@ def _grams(words: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The packed counts of a whole task, of two kinds: 0 raw, 1 target."""
-    flat = packed.zeros(2, 1 << BUCKET_BITS)
+    """The packed counts of a whole task."""
+    flat = packed.zeros(1, 1 << BUCKET_BITS)
     for batch in batches:
-        good = np.asarray(batch.column("good"))
-        for lo, hi, raw, at in text_slices(batch):
+        for _, _, raw, at in text_slices(batch):
             starts, ends, first = wh.spans(raw, at)
-            grams, text = _grams(wh.word_hashes(raw, starts, ends), np.diff(first))
+            grams, _ = _grams(wh.word_hashes(raw, starts, ends), np.diff(first))
             flat[0] += np.bincount(grams, minlength=flat.shape[1])
-            if good[lo:hi].any():
-                flat[1] += np.bincount(grams[good[lo:hi][text]], minlength=flat.shape[1])
     yield from packed.packed(flat)
 
 
+def _counts(docs: DataFrame) -> np.ndarray:
+    return packed.added(docs.select("text").mapInArrow(_count, packed.COUNTS), 1, 1 << BUCKET_BITS)[0]
+
+
 def _repeat_words(words: np.ndarray) -> int:
     h = wh.window_hashes(words, REPEAT_WINDOW)
     if len(h) < 2:
@@ -100,27 +102,39 @@ def _score(ratio: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return run
 
 
-def threshold(good: np.ndarray, poor: np.ndarray) -> float:
-    """The cut for scores: as many poor documents below it as can be while at most REJECT_GOOD of the good ones are,
-    and in the middle of the gap below that."""
-    if not len(good) or not len(poor):
-        return float("-inf")
-    most = np.sort(good)[int(REJECT_GOOD * len(good))]
-    below = poor[poor < most]
-    return float((most + below.max()) / 2) if len(below) else float(most)
+def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the whole number `rank` beside their score, in the same order."""
+    for batch in batches:
+        bits = (np.asarray(batch.column("score")) + 0.0).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("quality"), batch.column("score"), pa.array(bits ^ ((bits >> 63) & np.int64((1 << 63) - 1)))], ["quality", "score", "rank"])
 
 
-def judge(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def threshold(fit: DataFrame, reject: float = REJECT_GOOD) -> float:
+    """The cut for scores: as many poor documents below it as can be while at most `reject` of the good ones are, and in the
+    middle of the gap below that. fit: (quality, score) of one row for each labelled document, quality 1 or 0."""
+    fit = keep(fit.mapInArrow(_ranked, "quality int, score double, rank long"))
+    sizes = {r.quality: r.n for r in fit.groupBy("quality").agg(F.count("*").alias("n")).collect()}
+    if not sizes.get(1) or not sizes.get(0):
+        return float("-inf")
+    left, among = int(reject * sizes[1]), fit.where("quality = 1")
+    for shift in (48, 32, 16, 0):  # the part of the ranks, by ever more leading bits, that holds the good score after `left` others
+        part = F.shiftright("rank", shift)
+        for row in among.groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.max("score").alias("score")).orderBy("part").collect():  # at most 2^16
+            if left < row.n:
+                break
+            left -= row.n
+        among = among.where(part == row.part)
+    below = fit.where("quality = 0").where(F.col("score") < F.lit(row.score)).agg(F.max("score").alias("score")).first().score
+    return row.score if below is None else (row.score + below) / 2
+
+
+def judge(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, text_key, the base counts, base_failed, score and kept of every row of documents."""
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
-    known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    mixed = F.xxhash64("doc_id")
-    chosen = [known.where(f"quality = {q}").orderBy(mixed, "doc_id").limit(sample_rows) for q in (1, 0)]
-    sample = keep(chosen[0].union(chosen[1]))  # at most 2 * sample_rows rows, which every executor gets
-    marked = docs.join(F.broadcast(sample.where("quality = 1").select("doc_id", F.lit(True).alias("good"))), "doc_id", "left")
-    counted = marked.select("text", F.coalesce("good", F.lit(False)).alias("good")).mapInArrow(_count, packed.COUNTS)
-    counts = packed.added(counted, 2, 1 << BUCKET_BITS)
+    known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
+    known = keep(known.where("quality in (0, 1)"))
+    counts = np.stack([_counts(docs), _counts(docs.select("doc_id", "text").join(known.where("quality = 1").hint("merge"), "doc_id"))])
     p = np.log((counts + 1) / (counts.sum(axis=1, keepdims=True) + counts.shape[1]))
     ratio = (p[1] - p[0]) if counts[1].any() else np.zeros(counts.shape[1])
     sent = spark.sparkContext.broadcast(ratio)
@@ -128,6 +142,6 @@ def judge(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
     scored = keep(docs.mapInArrow(lambda batches: _score(sent.value)(batches), schema))
     failed = F.expr(f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words")
     scored = scored.withColumn("base_failed", failed)
-    fit = scored.where("not base_failed").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("score").alias("score")).toPandas()
-    cut = threshold(fit.score[fit.quality == 1].to_numpy(), fit.score[fit.quality == 0].to_numpy())
+    least = scored.where("not base_failed and doc_id is not null").groupBy("doc_id").agg(F.min("score").alias("score"))
+    cut = threshold(least.join(known, "doc_id").select("quality", "score"))
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(cut)))

@@ -1,11 +1,11 @@
 """Near-duplicate classes by the similarity of shingle sets.
 
 A text is the set of its runs of SHINGLE words (lower-cased; a shorter text is one run). Two texts are near duplicates if
-the Jaccard similarity of their sets is at least SIMILAR, and a class is what such pairs reach. Candidates share all
-ROWS least hashes of one of BANDS bands, which a pair at similarity 0.8 misses with a chance below 2 in 100,000; every
-candidate is then verified on the sets themselves.
+the Jaccard similarity of their sets is at least SIMILAR, and a class is what such pairs reach. The method is SimHash by deletion
+variants (simhash_sets): only sets of one SimHash class are compared, and a pair at similarity 0.8 is in one class but for a chance
+below 2 in 100,000. An exact check follows, on the sets themselves: all pairs of a SimHash class that could join two classes.
 
-Copies cost nothing: only distinct sets are indexed. First every member of a band is compared with the band's least one, a join
+Copies cost nothing: only distinct sets are indexed. Below, a SimHash class is called a band. First every member of a band is compared with the band's least one, a join
 whose rows are dealt by pairs, so a group of like texts of any size takes one comparison or a few for each member. What that
 joins is one class already; only bands whose members are in several classes then need their members compared with each
 other. Such a band goes to a task with its sets, and one of over BLOCK members goes in pairs of blocks, so a task
@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash_sets
 from . import wordhash as wh
 from .common import keep, text_slices
 from .components import components
@@ -56,7 +57,7 @@ def shingle_sets(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
 
 
 def bands(shingles: np.ndarray) -> np.ndarray:
-    """The BANDS keys of a set."""
+    """BANDS keys of a set by its least hashes: another way to deal sets, which no query uses; tests hold links() to it."""
     least = np.full(ROWS * BANDS, np.iinfo(np.uint64).max, np.uint64)
     for lo in range(0, len(shingles), 1 << 10):
         least = np.minimum(least, ((shingles[lo : lo + (1 << 10), None] ^ _SEEDS) * _FACTORS).min(axis=0))
@@ -87,6 +88,25 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(node, np.uint64), BANDS).view(np.int64)), pa.array(np.concatenate(keys).view(np.int64))], ["node", "band"])
 
 
+def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, bits) of each row."""
+
+    def of(sets: list[np.ndarray]) -> pa.RecordBatch:
+        names = np.array([_name(s) for s in sets], np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(names), pa.array([x.tobytes() for x in simhash_sets.fingerprints(sets)], pa.binary())], ["node", "bits"])
+
+    for batch in batches:
+        sets, size = [], 0
+        for s in shingle_sets(batch):
+            sets.append(s)
+            size += len(s)
+            if size > 1 << 18 or len(sets) == 1 << 12:
+                yield of(sets)
+                sets, size = [], 0
+        if sets:
+            yield of(sets)
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [s.tobytes() for s in shingle_sets(batch)]
@@ -187,7 +207,8 @@ def near_classes(documents: DataFrame) -> DataFrame:
     text = documents["text"].cast("string")
     docs = documents.select(row_key(documents).alias("k"), documents["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
     rows = keep(docs.mapInArrow(_index, "k long, doc_id long, text_key long, node long"))
-    met = keep(docs.select("text").mapInArrow(_bands, "node long, band long").distinct())
+    prints = keep(docs.select("text").mapInArrow(_prints, "node long, bits binary").groupBy("node").agg(F.min("bits").alias("bits")))
+    met = keep(components(simhash_sets.links(prints)).select("node", F.col("root").alias("band")))
     classes = components(links(met, docs, rows))
     return rows.join(classes, "node", "left").select("k", "doc_id", "text_key", F.coalesce("root", "node").alias("class_id"))
 

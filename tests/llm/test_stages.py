@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,6 +97,61 @@ def test_links_do_not_depend_on_blocks(spark, block):
             assert (ours[i] == ours[j]) == (want[i] == want[j])
 
 
+def test_near_dedup_goes_by_simhash(spark, monkeypatch):
+    """Every class of several texts comes through SimHash links: without them each distinct set stays."""
+    import corpus_pipeline as cp
+
+    from cladespark.llm import simhash_sets
+
+    texts = near_copies(random.Random(5), 12)
+    links = simhash_sets.links
+    monkeypatch.setattr(simhash_sets, "links", lambda prints: links(prints).where("false"))
+    assert cp.near_dedup(spark, frame(spark, list(enumerate(texts))), "").count() == len({shingles(t) for t in texts}) > len(set(brute_classes(texts)))
+
+
+@pytest.mark.parametrize("size", [9, 45, 900])
+def test_simhash_finds_pairs_at_the_limit(spark, size):
+    """300 pairs of sets as little above similarity 0.8 as can be: each pair is linked, and no sets of different pairs."""
+    from cladespark.llm import simhash_sets
+    from cladespark.llm.components import components
+
+    rng = np.random.default_rng(size)
+    both = -(-8 * size // 9)
+    unions = [rng.integers(0, 1 << 63, 2 * size - both, dtype=np.uint64) for _ in range(300)]
+    prints = simhash_sets.fingerprints([x for u in unions for x in (u[:size], u[size - both :])])
+    df = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(prints)], "node long, bits binary")
+    assert {r.node: r.root for r in components(simhash_sets.links(df)).collect()} == {i: i - i % 2 for i in range(600)}
+
+
+def test_simhash_forest_equals_all_pairs():
+    """Runs of a few rows and one of over RUN rows, in which links go by chains."""
+    from cladespark.llm import simhash_sets as sh
+
+    rng = np.random.default_rng(2)
+    p, slot = [], []
+    for half, n in ((0, 700), (1, 5), (2, 40)):
+        for _ in range(n):
+            new = not p or rng.random() < 0.3
+            bits = rng.integers(0, 2, sh.CHECK, dtype=np.uint8) if new else p[rng.integers(len(p))] ^ (rng.random(sh.CHECK) < 0.22).astype(np.uint8)
+            p.append(bits)
+            slot.append(half << sh.HALF | (0 if half == 0 else int(rng.integers(8))))
+    p, slot = np.stack(p), np.array(slot, np.int32)
+    order = np.argsort(slot, kind="stable")
+    p, slot = p[order], slot[order]
+    near = ((p[:, None] ^ p[None]).sum(axis=2) <= sh.LIMIT) & (np.bitwise_count(slot[:, None] ^ slot[None]) <= 1) & (slot[:, None] >> sh.HALF == slot[None] >> sh.HALF)
+
+    def classes(pairs):
+        root = list(range(len(p)))
+        for a, b in pairs:
+            if root[a] != root[b]:
+                old, new = root[a], root[b]
+                root = [new if r == old else r for r in root]
+        return [root.index(r) for r in root]
+
+    found = sh.forest(slot, np.packbits(p, axis=1).view(np.uint64))
+    assert classes(found) == classes(np.argwhere(near).tolist()) and len(found) < len(p) and all(near[a, b] for a, b in found)
+
+
 def bench_dir(spark, tmp_path, items):
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     return str(tmp_path)

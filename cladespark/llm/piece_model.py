@@ -99,8 +99,15 @@ class Consistency:
             found = self.own[piece] = self.merged(self.model.pieces[piece]) == [self.model.pieces[piece]]
         return found
 
-    def fits(self, left: int, right: int) -> bool:
+    def judge(self, left: int, right: int) -> bool:
         """left: -1 where nothing that merges stands before."""
+        if left < 0:
+            return self.whole(right)
+        a, b = self.model.pieces[left], self.model.pieces[right]
+        return self.whole(right) and self.merged(a + b) == [a, b]
+
+    def fits(self, left: int, right: int) -> bool:
+        """judge, with a memory of pairs."""
         if left < 0:
             return self.whole(right)
         key = left << 32 | right
@@ -108,8 +115,7 @@ class Consistency:
         if found is None:
             if len(self.pairs) > 600_000:  # bounded memory; what is needed comes back soon
                 self.pairs.clear()
-            a, b = self.model.pieces[left], self.model.pieces[right]
-            found = self.pairs[key] = self.whole(right) and self.merged(a + b) == [a, b]
+            found = self.pairs[key] = self.judge(left, right)
         return found
 
 

@@ -69,6 +69,12 @@ class Automaton:
         self.first = [x if self.piece[x] >= 0 else self.output[x] for x in range(len(self.step))]
 
 
+#: Text is encoded in parts of about this many bytes: the workers of an executor share what its JVM leaves, and a part's arrays take
+#: some 20 times its size.
+PART_BYTES = SLICE_BYTES // 2
+NEVER = float("-inf")
+
+
 class PieceScores(dict):
     """own[last * stride + piece] of a unigram model: the piece's score, whatever stands before (stride 0)."""
 
@@ -79,7 +85,7 @@ class PieceScores(dict):
 
 
 class MergeScores(dict):
-    """own[last * stride + piece] of a merge-based model: 0 if piece may follow last (-1: nothing that merges), else minus infinity."""
+    """own[last * stride + piece] of a merge-based model: 0 if piece may follow last (-1: nothing that merges), else NEVER."""
 
     stride, most = 1 << 32, 0.0
 
@@ -90,7 +96,7 @@ class MergeScores(dict):
     def __missing__(self, key: int) -> float:
         if len(self) > self.entries:  # bounded memory; what is needed comes back soon
             self.clear()
-        value = self[key] = 0.0 if self.rule.fits(*divmod(key, self.stride)) else float("-inf")
+        value = self[key] = 0.0 if self.rule.judge(*divmod(key, self.stride)) else NEVER  # one of two objects; the rule keeps no copy
         return value
 
 
@@ -115,7 +121,7 @@ class Codec:
         """For each position the last piece of the best path to it (-1: an unknown character) and where it starts."""
         auto, own, stride, most = self.auto, self.own, self.own.stride, self.own.most
         step, fail, output, piece, length, first = auto.step, auto.fail, auto.output, auto.piece, auto.length, auto.first
-        n, low = len(text), float("-inf")
+        n, low = len(text), NEVER
         best, last, back = [0.0] * (n + 1), [-1] * (n + 1), [0] * (n + 1)
         node = i = 0
         for c in text:
@@ -169,11 +175,12 @@ def encode_texts(path: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def _encode(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, _, _ in text_slices(batch, limit=2 * SLICE_BYTES):
+            for lo, hi, _, _ in text_slices(batch, limit=PART_BYTES):
                 part = batch.slice(lo, hi - lo)
                 ids, sizes = encode_texts(path, py_texts(part.column("text")))
                 offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in part.schema.names if c != "text"), pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))], [*(c for c in part.schema.names if c != "text"), "ids"])
+            pa.default_memory_pool().release_unused()
 
     return run
 
@@ -208,7 +215,7 @@ def _both(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, _ = codec(path)
         for batch in batches:
-            for lo, hi, _, _ in text_slices(batch, limit=2 * SLICE_BYTES):
+            for lo, hi, _, _ in text_slices(batch, limit=PART_BYTES):
                 part = batch.slice(lo, hi - lo)
                 ids, sizes = encode_texts(path, py_texts(part.column("text")))
                 ends = np.cumsum(sizes)
@@ -216,6 +223,7 @@ def _both(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
                 at = [*zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
                 columns = [part.column("doc_id"), pa.array([raw[4 * a : 4 * b] for a, b in at], pa.binary()), pa.array([made.decode(ids[a:b].tolist()) for a, b in at], pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"])
+            pa.default_memory_pool().release_unused()
 
     return run
 

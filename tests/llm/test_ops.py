@@ -212,6 +212,34 @@ def test_encoding_equals_the_library_and_comes_back(spark, library):
     assert sentencepiece_codec.round_trip(frame(spark, [(1, "x")]).where("false"), path).count() == 0
 
 
+def test_encoding_keeps_little_in_memory(library):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    path = registry.vocabulary("piece_bpe_32k.model")
+    rng = random.Random(6)
+    words = ["".join(rng.choice("etaoinshr") for _ in range(rng.randrange(1, 6))) for _ in range(300)]
+    texts = [" ".join(rng.choice(words) for _ in range(4000)) for _ in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    run = sentencepiece_codec._both(path)
+    [*run(iter([batch.slice(0, 2)]))]  # the model, and what it learns
+    codec, _ = sentencepiece_codec.codec(path)
+    assert codec.own and not codec.own.rule.pairs
+    tracemalloc.start()
+    try:
+        done = 0
+        for out in run(iter([batch])):
+            assert [r["decoded"] for r in out.to_pylist()] == texts[done : done + out.num_rows]
+            first = out.slice(0, 1).to_pylist()[0]
+            assert np.frombuffer(first["ids"], "<u4").tolist() == library.encode(texts[done])
+            done += out.num_rows
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert done == len(texts) and most < 20 << 20, most
+
+
 def test_unigram_viterbi_against_enumeration():
     rng = random.Random(2)
     pieces = ["<unk>", "<s>", "▁", "a", "b", "ab", "ba", "aba", "▁a", "▁ab", "bb", "abab"]

@@ -5,6 +5,7 @@ import random
 import pytest
 
 from cladespark import catalogue
+from cladespark.operators import likelihood as lk
 
 TOP = 7_000_000_000
 
@@ -28,3 +29,10 @@ def test_partition_bind(spark, far):
     parts = [[k for k in orders if (k + 2) % 3 == p] for p in range(3)]
     want = [(p, len(x), min(x), max(x)) for p, x in enumerate(parts)]
     assert sorted(map(tuple, catalogue.partition_bind(spark, sf).collect())) == want
+
+
+def test_partition_loglik(spark, far):
+    sf, _ = far
+    each = lk.site_loglik(catalogue.columns(spark, sf), catalogue.TREE, catalogue.GTR4, ("site",)).collect()
+    want = {p: sum(r.lnl for r in each if (r.site + 2) % 3 == p) for p in range(3)}
+    assert {r.partition: r.lnl for r in catalogue.partition_loglik(spark, sf).collect()} == pytest.approx(want, abs=1e-3)

@@ -1,6 +1,7 @@
 """Queries on small tables that are odd: keys far apart, few orders."""
 
 import random
+from collections import Counter
 
 import pytest
 
@@ -36,3 +37,10 @@ def test_partition_loglik(spark, far):
     each = lk.site_loglik(catalogue.columns(spark, sf), catalogue.TREE, catalogue.GTR4, ("site",)).collect()
     want = {p: sum(r.lnl for r in each if (r.site + 2) % 3 == p) for p in range(3)}
     assert {r.partition: r.lnl for r in catalogue.partition_loglik(spark, sf).collect()} == pytest.approx(want, abs=1e-3)
+
+
+def test_partition_patterns(spark, far):
+    sf, orders = far
+    want = Counter(((k + 2) % 3, *(1 << lines[i] % 4 if i in lines else 15 for i in range(1, 8))) for k, lines in orders.items())
+    got = catalogue.partition_patterns(spark, sf).collect()
+    assert {tuple(r)[:-1]: r.w for r in got} == want and len(got) == len(want)

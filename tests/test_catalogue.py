@@ -44,3 +44,9 @@ def test_partition_patterns(spark, far):
     want = Counter(((k + 2) % 3, *(1 << lines[i] % 4 if i in lines else 15 for i in range(1, 8))) for k, lines in orders.items())
     got = catalogue.partition_patterns(spark, sf).collect()
     assert {tuple(r)[:-1]: r.w for r in got} == want and len(got) == len(want)
+
+
+def test_partition_shares(spark, far):
+    sf, orders = far
+    n = Counter((k + 2) % 3 for k in orders)
+    assert sorted(map(tuple, catalogue.partition_shares(spark, sf).collect())) == [(p, n[p], round(n[p] / len(orders), 9)) for p in sorted(n)]

@@ -114,11 +114,6 @@ def base_frequencies(patterns: DataFrame, states: int = 4, rounds: int = 8) -> D
     return row.select(F.posexplode(F.array(*freqs)).alias("state", "freq"))
 
 
-def partition_sites(regions: DataFrame) -> DataFrame:
-    """(partition, site) from (partition, lo, hi, stride), each region inclusive."""
-    return regions.select("partition", F.explode(F.sequence("lo", "hi", "stride")).alias("site"))
-
-
 def _block(site: Column) -> Column:
     return F.shiftright(site.cast("long"), BLOCK_BITS)
 
@@ -154,14 +149,18 @@ def bind_partitions(columns: DataFrame, regions: DataFrame, key: str = "site") -
 
 
 def partition_problems(sites: DataFrame, regions: DataFrame) -> DataFrame:
-    """(n_overlap, n_uncovered, n_outside): sites in several partitions, in none, and assigned sites that don't exist."""
-    times = partition_sites(regions).groupBy("site").agg(F.count("*").alias("n"))
-    both = sites.select("site", F.lit(1).alias("here")).join(times, "site", "full_outer")
-    return both.agg(
-        F.coalesce(F.sum((F.col("n") > 1).cast("long")), F.lit(0)).alias("n_overlap"),
-        F.coalesce(F.sum(F.col("n").isNull().cast("long")), F.lit(0)).alias("n_uncovered"),
-        F.coalesce(F.sum(F.col("here").isNull().cast("long")), F.lit(0)).alias("n_outside"),
-    )
+    """(n_overlap, n_uncovered, n_outside): sites in several partitions, in none, and assigned sites that don't exist.
+
+    Assigned sites are counted block by block, each block in one task; the sites that exist look their block up."""
+    tasks = int(sites.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, so that a few rows of regions aren't put into one task
+    blocks = region_blocks(regions).groupBy("block").agg(F.collect_list(F.struct("lo", "hi", "stride")).alias("rs"))  # the regions that meet a block
+    pieces = blocks.repartition(tasks, "block").select("block", F.explode("rs").alias("r"))
+    times = pieces.select("block", F.explode(F.sequence("r.lo", "r.hi", "r.stride")).alias("site")).groupBy("block", "site").agg(F.count("*").alias("n"))
+    assigned = times.agg(F.count("*").alias("assigned"), F.coalesce(F.sum((F.col("n") > 1).cast("long")), F.lit(0)).alias("n_overlap"))
+    known = sites.select("site").distinct().select("site", _block(F.col("site")).alias("block")).join(blocks, "block", "left")
+    met = known.select(F.coalesce(F.exists("rs", lambda r: _holds(F.col("site"), r["lo"], r["hi"], r["stride"])), F.lit(False)).cast("long").alias("met"))
+    counts = met.agg(F.coalesce(F.sum("met"), F.lit(0)).alias("met"), F.coalesce(F.sum(1 - F.col("met")), F.lit(0)).alias("n_uncovered"))
+    return assigned.crossJoin(counts).select("n_overlap", "n_uncovered", (F.col("assigned") - F.col("met")).alias("n_outside"))
 
 
 def join_tips(sequences: DataFrame, tips: DataFrame) -> DataFrame:

@@ -50,3 +50,12 @@ def test_partition_shares(spark, far):
     sf, orders = far
     n = Counter((k + 2) % 3 for k in orders)
     assert sorted(map(tuple, catalogue.partition_shares(spark, sf).collect())) == [(p, n[p], round(n[p] / len(orders), 9)) for p in sorted(n)]
+
+
+@pytest.mark.parametrize("top", [50, 500])
+def test_partition_validate(spark, tmp_path, top):
+    """Of 50 sites the second region ends before it begins; every third site is missing."""
+    sites = [k for k in range(1, top + 1) if k % 3 != 1 or k == top]
+    times = Counter([*range(1, top // 2 + 1), *range(top // 3, top - 99)])
+    want = sum(n > 1 for n in times.values()), sum(k not in times for k in sites), len(times.keys() - set(sites))
+    assert tuple(catalogue.partition_validate(spark, write(spark, tmp_path, {k: {1: k, 2: k} for k in sites})).first()) == want

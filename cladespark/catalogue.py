@@ -378,8 +378,10 @@ _WIDE_STEPS, _WIDE_L = sqlgen.site_lnl(WIDE_TREE, GTR4, "wpat", ("w",), "wx")
 
 def wide_patterns(spark: SparkSession, sf: str) -> DataFrame:
     """The line items as an alignment of 49 taxa: the line's number and the supplier's number modulo 7."""
-    rows = al.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("site"), F.expr("cast((l_linenumber - 1) * 7 + l_suppkey % 7 + 1 as int)").alias("taxon")).agg((F.min("l_partkey") % 4).cast("int").alias("k"))
-    return al.compress(al.columns_from_cells(rows.select("site", "taxon", F.expr("shiftleft(1, k)").alias("code")), range(1, WIDE_TAXA + 1)))
+    lines = al.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("site"), F.expr("cast((l_linenumber - 1) * 7 + l_suppkey % 7 + 1 as int)").alias("taxon"), "l_partkey")
+    dealt = lines.repartition(al.tasks(spark), "site")  # both aggregations, by cell and by site, follow without another exchange
+    rows = dealt.groupBy("site", "taxon").agg((F.min("l_partkey") % 4).cast("int").alias("k"))
+    return al.compress_cells(rows.select("site", "taxon", F.expr("shiftleft(1, k)").alias("code")), range(1, WIDE_TAXA + 1))
 
 
 @query("with " + ",\n".join([_WIDE_CELL, *_WIDE_STEPS]) + f" select round(sum(w * lnl), 3) as lnl, cast(sum(w) as bigint) as sites, count(*) as patterns from {_WIDE_L}")

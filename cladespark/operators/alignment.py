@@ -19,6 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tasks(spark: SparkSession) -> int:
+    """The number of tasks to give to an exchange that isn't to be merged into fewer, larger ones."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def canonical_cells(lineitem: DataFrame) -> DataFrame:
     """(site, taxon, ch, code) of the alignment that the line items stand for; (order, line) pairs may repeat."""
     low = (F.min("l_partkey") % 4).cast("int")
@@ -54,6 +59,19 @@ def compress(columns: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return columns.groupBy(*by, *state_columns(columns)).agg(F.count("*").alias("w"))
 
 
+def compress_cells(cells: DataFrame, taxa: Sequence[int]) -> DataFrame:
+    """compress(columns_from_cells(cells, taxa)) for many taxa, from one (site, taxon, code) row at most for each cell, codes 1 to 15: shuffled
+    and counted as numbers of 16 codes each, 4 bits a code."""
+    taxa, per = list(taxa), 16
+    at = F.array_position(F.array(*map(F.lit, taxa)), F.col("taxon").cast("int")) - 1  # -1: another taxon
+    placed = cells.withColumn("at", at).withColumn("bits", F.expr(f"shiftleft(cast(code as long), cast(4 * pmod(at, {per}) as int))"))
+    words = [f"p{j}" for j in range((len(taxa) + per - 1) // per)]
+    sites = placed.groupBy("site").agg(*[F.coalesce(F.bit_or(F.when((F.col("at") >= j * per) & (F.col("at") < (j + 1) * per), F.col("bits"))), F.lit(0).cast("long")).alias(w) for j, w in enumerate(words)])
+    code = lambda i: F.expr(f"cast(shiftrightunsigned(p{i // per}, {4 * (i % per)}) & 15 as int)")
+    packed = sites.groupBy(*words).agg(F.count("*").alias("w"))
+    return packed.select(*[F.when(code(i) == 0, DNA.undetermined).otherwise(code(i)).alias(f"c{k}") for i, k in enumerate(taxa)], "w")
+
+
 def as_arrays(patterns: DataFrame) -> DataFrame:
     """The state columns as one array<tinyint> column `states`, the form of the Arrow kernels."""
     cs = state_columns(patterns)
@@ -152,9 +170,8 @@ def partition_problems(sites: DataFrame, regions: DataFrame) -> DataFrame:
     """(n_overlap, n_uncovered, n_outside): sites in several partitions, in none, and assigned sites that don't exist.
 
     Assigned sites are counted block by block, each block in one task; the sites that exist look their block up."""
-    tasks = int(sites.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, so that a few rows of regions aren't put into one task
     blocks = region_blocks(regions).groupBy("block").agg(F.collect_list(F.struct("lo", "hi", "stride")).alias("rs"))  # the regions that meet a block
-    pieces = blocks.repartition(tasks, "block").select("block", F.explode("rs").alias("r"))
+    pieces = blocks.repartition(tasks(sites.sparkSession), "block").select("block", F.explode("rs").alias("r"))
     times = pieces.select("block", F.explode(F.sequence("r.lo", "r.hi", "r.stride")).alias("site")).groupBy("block", "site").agg(F.count("*").alias("n"))
     assigned = times.agg(F.count("*").alias("assigned"), F.coalesce(F.sum((F.col("n") > 1).cast("long")), F.lit(0)).alias("n_overlap"))
     known = sites.select("site").distinct().select("site", _block(F.col("site")).alias("block")).join(blocks, "block", "left")

@@ -361,6 +361,17 @@ def test_partition_problems(spark):
     assert (r.n_overlap, r.n_uncovered, r.n_outside) == (1, 3, 1)
 
 
+def test_compress_cells(spark):
+    """The same patterns as by columns, shuffled in a fraction of the width."""
+    rng = random.Random(8)
+    rows = [(s, t, rng.choice([1, 4, 8, 15])) for s in range(30) for t in range(1, 51) if rng.random() < 0.2 or s % 3 == 0 and t in (16, 17, 49)] + [(99, 50, 2), (98, 7, None)]
+    cells = spark.createDataFrame(rows + [(s + 200, t, c) for s, t, c in rows], "site int, taxon int, code int")
+    got, want = al.compress_cells(cells, range(1, 50)), al.compress(al.columns_from_cells(cells, range(1, 50)))
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    shuffles = [line for line in got._jdf.queryExecution().executedPlan().toString().splitlines() if "HashAggregate" in line]
+    assert shuffles and not any("c49" in line for line in shuffles)
+
+
 def test_partition_of_many_sites(spark):
     """Regions whose sites no row or broadcast could hold."""
     top = 7_000_000_000

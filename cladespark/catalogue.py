@@ -72,6 +72,11 @@ def patterns(spark: SparkSession, sf: str) -> DataFrame:
     return al.compress(columns(spark, sf))
 
 
+def kept_patterns(spark: SparkSession, sf: str) -> DataFrame:
+    """patterns for many passes, in memory and dealt to all cores: they are few bytes, which would come as one or two partitions, but each is much work."""
+    return patterns(spark, sf).repartition(max(spark.sparkContext.defaultParallelism, 2)).cache()
+
+
 def regions(spark: SparkSession, sf: str) -> DataFrame:
     """Three strided partitions of the order keys: every third from 1, from 2 and from 3."""
     top = lineitem(spark, sf).agg(F.max("l_orderkey").alias("hi"))
@@ -737,7 +742,7 @@ def site_rates_fitted(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def newton_branch(spark: SparkSession, sf: str) -> DataFrame:
-    p = patterns(spark, sf).cache()
+    p = kept_patterns(spark, sf)
     fitted, lnl = optimize.newton_lengths(p, TREE, JC4)
     p.unpersist()
     return spark.createDataFrame([(u, v, t, lnl) for (u, v), t in fitted.length.items()], "u int, v int, t double, lnl double").select("u", "v", F.round("t", 4).alias("t"), F.round("lnl", 2).alias("lnl"))
@@ -745,7 +750,7 @@ def newton_branch(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def optimise_alpha(spark: SparkSession, sf: str) -> DataFrame:
-    p = patterns(spark, sf).cache()
+    p = kept_patterns(spark, sf)
     m, lnl = optimize.optimise_alpha(p, TREE, md.jc69().with_alpha(1.0))
     p.unpersist()
     return spark.createDataFrame([(m.alpha, lnl)], "alpha double, lnl double").select(F.round("alpha", 4).alias("alpha"), F.round("lnl", 2).alias("lnl"))
@@ -754,7 +759,7 @@ def optimise_alpha(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def optimise_rates(spark: SparkSession, sf: str) -> DataFrame:
     """Transition against transversion rates by a symmetry string."""
-    p = patterns(spark, sf).cache()
+    p = kept_patterns(spark, sf)
     m, lnl = optimize.optimise_rates(p, TREE, replace(md.jc69(), name="HKY"), "0,1,0,0,1,0", 1)
     p.unpersist()
     return spark.createDataFrame([(float(m.rates[1] / m.rates[0]), lnl)], "ratio double, lnl double").select(F.round("ratio", 4).alias("ratio"), F.round("lnl", 2).alias("lnl"))
@@ -762,7 +767,7 @@ def optimise_rates(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def nni_search(spark: SparkSession, sf: str) -> DataFrame:
-    p = patterns(spark, sf).cache()
+    p = kept_patterns(spark, sf)
     best, lnl, n = search.nni_search(p, CANDIDATES[1], md.jc69())
     p.unpersist()
     return spark.createDataFrame([(",".join(map(str, best.canonical())), lnl, n)], "topology string, lnl double, moves int").withColumn("lnl", F.round("lnl", 2))
@@ -770,7 +775,7 @@ def nni_search(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def spr_search(spark: SparkSession, sf: str) -> DataFrame:
-    p = patterns(spark, sf).cache()
+    p = kept_patterns(spark, sf)
     best, lnl, n = search.spr_search(p, CANDIDATES[2], md.jc69(), 3, thorough=1)
     p.unpersist()
     return spark.createDataFrame([(",".join(map(str, best.canonical())), lnl, n)], "topology string, lnl double, moves int").withColumn("lnl", F.round("lnl", 2))
@@ -779,7 +784,7 @@ def spr_search(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def rapid_search(spark: SparkSession, sf: str) -> DataFrame:
     """Subtree moves by rings with a cutoff and a list of starts."""
-    p = patterns(spark, sf).cache()
+    p = kept_patterns(spark, sf)
     best, lnl, n = search.rapid_search(p, CANDIDATES[2], md.jc69(), 3)
     p.unpersist()
     return spark.createDataFrame([(",".join(map(str, best.canonical())), lnl, n)], "topology string, lnl double, moves int").withColumn("lnl", F.round("lnl", 2))
@@ -788,7 +793,7 @@ def rapid_search(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def ml_search(spark: SparkSession, sf: str) -> DataFrame:
     """The full search from a parsimony tree: swaps, then subtree moves; the best topologies it met."""
-    p = patterns(spark, sf).cache()
+    p = kept_patterns(spark, sf)
     start, _ = parsimony.stepwise_addition(p, [str(i) for i in range(1, 8)], seed=1)
     _, _, best = search.ml_search(p, start, md.jc69(), 3)
     rows = [(k, *best.recall(k)) for k in range(1, len(best.rows) + 1)]

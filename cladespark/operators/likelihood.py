@@ -278,8 +278,8 @@ def _summed(patterns: DataFrame, work: Callable[[np.ndarray, np.ndarray], list[t
 
     rows = as_arrays(patterns).select("states", F.col("w").cast("double").alias("w"))
     each = rows.mapInArrow(run, "key long, " + ", ".join(f"v{i} double" for i in range(width)))
-    got = each.groupBy("key").agg(*[F.sum(f"v{i}").alias(f"v{i}") for i in range(width)]).orderBy("key").collect()
-    return [(r[0], list(r[1:])) for r in got]
+    got = each.groupBy("key").agg(*[F.sum(f"v{i}").alias(f"v{i}") for i in range(width)]).collect()
+    return sorted((r[0], list(r[1:])) for r in got)
 
 
 def loglik_many(patterns: DataFrame, pairs: Sequence[tuple[Tree, Model]], alphabet: Alphabet = DNA) -> list[float]:

@@ -59,3 +59,11 @@ def test_partition_validate(spark, tmp_path, top):
     times = Counter([*range(1, top // 2 + 1), *range(top // 3, top - 99)])
     want = sum(n > 1 for n in times.values()), sum(k not in times for k in sites), len(times.keys() - set(sites))
     assert tuple(catalogue.partition_validate(spark, write(spark, tmp_path, {k: {1: k, 2: k} for k in sites})).first()) == want
+
+
+def test_kept_patterns_use_all_cores(spark, far):
+    kept = catalogue.kept_patterns(spark, far[0])
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, catalogue.patterns(spark, far[0]).collect()))
+    sizes = [len(x) for x in kept.rdd.glom().collect()]
+    kept.unpersist()
+    assert len(sizes) == spark.sparkContext.defaultParallelism and max(sizes) <= sum(sizes) / len(sizes) + 2

@@ -67,3 +67,8 @@ def test_kept_patterns_use_all_cores(spark, far):
     sizes = [len(x) for x in kept.rdd.glom().collect()]
     kept.unpersist()
     assert len(sizes) == spark.sparkContext.defaultParallelism and max(sizes) <= sum(sizes) / len(sizes) + 2
+
+
+def test_regions_are_dealt_to_tasks(spark, far):
+    for query in (catalogue.align_regions, catalogue.align_all_taxa):
+        assert query(spark, far[0]).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
